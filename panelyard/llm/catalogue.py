@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import byte_bpe, exact_dedup, mixing, sharding, token_orc, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op3_sharding": sharding.query,
+    "op4_byte_bpe": byte_bpe.query,
     "op5_source_mixing": mixing.query,
+    "op7_toxicity": toxicity.query,
+    "op8_token_orc": token_orc.query,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op4_byte_bpe": byte_bpe.query,
     "op5_source_mixing": mixing.SQL,
 }
