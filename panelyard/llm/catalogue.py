@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, mixing, sharding, token_orc, toxicity
+from . import byte_bpe, exact_dedup, mixing, sharding, token_orc, topk, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -11,10 +11,11 @@ QUERIES = {
     "op5_source_mixing": mixing.query,
     "op7_toxicity": toxicity.query,
     "op8_token_orc": token_orc.query,
+    "op10_exact_topk": topk.query,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
-    "op4_byte_bpe": byte_bpe.query,
     "op5_source_mixing": mixing.SQL,
+    "op10_exact_topk": topk.SQL,
 }
