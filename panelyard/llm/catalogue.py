@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, mixing, sharding, token_orc, topk, toxicity
+from . import byte_bpe, exact_dedup, mixing, sharding, token_orc, topk, toxicity, wrappers
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_source_mixing": mixing.query,
     "op7_toxicity": toxicity.query,
     "op8_token_orc": token_orc.query,
+    "op9_html_wrappers": wrappers.query,
     "op10_exact_topk": topk.query,
 }
 
