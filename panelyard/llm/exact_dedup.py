@@ -5,8 +5,8 @@
 * Compaction: all runs are merged into one row per digest, with its smallest and largest id and the number of its
   rows; partial aggregation in the map tasks means that a hot digest travels once per task (`compact`).
 * Byte verification: only rows whose digest was hit more than once are looked at again.  A filter of FILTER_BITS bits
-  (its size is fixed, so it can be broadcast) drops nearly all other rows in the scan; an exact semi-join follows, and
-  grouping by (digest, bytes) settles which hits are the same bytes.  Where two texts share a digest, the rows of that
+  (its size is fixed, so it can be broadcast) drops nearly all other rows in the scan, before anything moves; grouping
+  the rest by (digest, bytes) settles which hits are the same bytes.  Where two texts share a digest, the rows of that
   digest are kept apart by their bytes, so a collision costs time and never a document.
 * `lookup` asks an index for a batch of new documents, as ingestion does: the Bloom filters prune runs and row groups.
 
@@ -70,7 +70,7 @@ def dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_c
     hits = stored(index.where("n > 1").select("digest"), "dedup-hits")
     text = folded(F.col(text_col))
     full = docs.select(F.col(id_col).alias("doc_id"), text.alias("bytes"), (digest(text) if digest else F.sha2(text.cast("binary"), 256)).alias("digest"))
-    full = _filtered(full, hits).join(hits, "digest", "left_semi")
+    full = _filtered(full, hits)  # what passes the filter by chance is a group of one
     best = F.max if keep == "largest" else F.min
     proven = full.groupBy("digest", "bytes").agg(best("doc_id").alias("keep_id"), F.count("*").alias("n"))
     proven = stored(proven.select("digest", F.sha2(F.col("bytes").cast("binary"), 256).alias("text_sha256"), "keep_id", "n", F.octet_length("bytes").alias("length")), "dedup-proven")
