@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, mixing, sharding, token_orc, topk, toxicity, wrappers
+from . import byte_bpe, exact_dedup, jaccard, mixing, sharding, token_orc, topk, toxicity, wrappers
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op2_ngram_jaccard": jaccard.query,
     "op3_sharding": sharding.query,
     "op4_byte_bpe": byte_bpe.query,
     "op5_source_mixing": mixing.query,

@@ -37,3 +37,46 @@ def folded(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words in a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+BUCKET_BITS = 32768  # of one bitmap of bitmap_construct_agg()
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, column: str, bits: int = 1 << 21) -> DataFrame:
+    """Rows whose `column` may be among `wanted`: a bitmap test in the scan, with false positives, no false negatives.
+
+    The bitmap has `bits` bits (256 KiB for 2^21), whatever the input, so that it can be broadcast."""
+    place = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
+    marks = wanted.select(place.alias("_s")).select(F.floor(F.col("_s") / BUCKET_BITS).alias("_b"), (F.col("_s") % BUCKET_BITS).alias("_p"))
+    marks = marks.groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_bits"))  # at most bits / BUCKET_BITS rows
+    rows = rows.withColumn("_s", place).withColumn("_b", F.floor(F.col("_s") / BUCKET_BITS))
+    byte = F.conv(F.hex(F.substring("_bits", ((F.col("_s") % BUCKET_BITS) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(marks), "_b").withColumn("_byte", byte)
+    return found.where("shiftright(_byte, cast(_s % 8 as int)) & 1 = 1").drop("_b", "_s", "_bits", "_byte")
+
+
+def components(edges: DataFrame, most: int = 40) -> DataFrame:
+    """(node, root) of an undirected graph (u, v) of longs: root is the component's smallest node.  Only nodes with an
+    edge appear.  Alternating large-star and small-star steps; each ends in a stored table, so lineage stays short."""
+
+    def sign(e: DataFrame) -> tuple:
+        r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        return r["n"], r["s"]
+
+    e = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    before = sign(e)
+    for _ in range(most):
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        e = stored(e, "edges")
+        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        pulled = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = stored(pulled.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        after = sign(e)
+        if after == before:
+            break
+        before = after
+    else:
+        raise RuntimeError("components() did not settle")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
