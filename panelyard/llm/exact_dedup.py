@@ -20,10 +20,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import folded, scratch, stored
+from .shared import folded, maybe_in, stored
 
 FILTER_BITS = 1 << 21  # 256 KiB as a broadcast, whatever the input
-BUCKET_BITS = 32768  # of one bitmap of bitmap_construct_agg()
 
 
 def flush(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=None) -> DataFrame:
@@ -49,20 +48,6 @@ def lookup(index: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
     return new.join(index.select("digest", F.lit(True).alias("known")), "digest", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def _slot(digest):
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
-
-
-def _filtered(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows whose digest may be in `wanted`: a bitmap test, with false positives and no false negatives."""
-    bits = wanted.select(_slot(F.col("digest")).alias("s")).select(F.floor(F.col("s") / BUCKET_BITS).alias("b"), (F.col("s") % BUCKET_BITS).alias("p"))
-    bits = bits.groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))  # at most FILTER_BITS / BUCKET_BITS rows
-    rows = rows.withColumn("s", _slot(F.col("digest"))).withColumn("b", F.floor(F.col("s") / BUCKET_BITS))
-    byte = F.conv(F.hex(F.substring("bits", ((F.col("s") % BUCKET_BITS) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    test = F.expr("shiftright(_byte, cast(s % 8 as int)) & 1") == 1
-    return rows.join(F.broadcast(bits), "b").withColumn("_byte", byte).where(test).drop("b", "s", "bits", "_byte")
-
-
 def dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text", digest=None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, one row per document."""
     runs = flush(docs, id_col, text_col, digest)
@@ -70,7 +55,7 @@ def dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_c
     hits = stored(index.where("n > 1").select("digest"), "dedup-hits")
     text = folded(F.col(text_col))
     full = docs.select(F.col(id_col).alias("doc_id"), text.alias("bytes"), (digest(text) if digest else F.sha2(text.cast("binary"), 256)).alias("digest"))
-    full = _filtered(full, hits)  # what passes the filter by chance is a group of one
+    full = maybe_in(full, hits, "digest", FILTER_BITS)  # what passes the filter by chance is a group of one
     best = F.max if keep == "largest" else F.min
     proven = full.groupBy("digest", "bytes").agg(best("doc_id").alias("keep_id"), F.count("*").alias("n"))
     proven = stored(proven.select("digest", F.sha2(F.col("bytes").cast("binary"), 256).alias("text_sha256"), "keep_id", "n", F.octet_length("bytes").alias("length")), "dedup-proven")
@@ -85,9 +70,15 @@ def dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_c
 
 
 def survivors(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns (ids are taken to be unique here)."""
-    lost = dedup(docs, keep, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(lost, id_col, "left_anti")
+    """The documents that stay, with all their columns.  Of rows that repeat the id and the text, one stays."""
+    found = stored(dedup(docs, keep, id_col, text_col).where("group_size > 1"), "dedup-found")
+    lost = found.where("not kept").select(F.col("doc_id").alias(id_col))
+    again = found.where("kept").groupBy(F.col("doc_id").alias(id_col), "text_sha256").count().where("count > 1").select(id_col)
+    out = docs.join(lost, id_col, "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return out
+    once = out.join(again, id_col, "left_semi").withColumn("_folded", folded(F.col(text_col))).dropDuplicates([id_col, "_folded"])
+    return out.join(again, id_col, "left_anti").unionByName(once.select(*docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

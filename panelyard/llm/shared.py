@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -12,13 +13,37 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_watched: list[list[str]] = []
+
+
+@contextmanager
+def watched():
+    """Collects the scratch paths that are made inside, for a later discard()."""
+    _watched.append(paths := [])
+    try:
+        yield paths
+    finally:
+        _watched.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch tables that nothing will read again."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    paths.clear()
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path below spark.checkpoint.dir; a temporary folder only where that setting is missing."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="panelyard-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    for paths in _watched:
+        paths.append(path)
+    return path
 
 
 def stored(df: DataFrame, label: str, fmt: str = "parquet", **options) -> DataFrame:

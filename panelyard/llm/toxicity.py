@@ -115,26 +115,45 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return ftrl.model()
 
 
+def scorer(model):
+    """texts -> scores, with the weights spread out once."""
+    at, weight, bias = model
+    dense = np.zeros(1 << BITS, np.float64)
+    dense[at] = weight
+
+    def run(texts: list[str | None]) -> list[float]:
+        return [1 / (1 + math.exp(-max(-35.0, min(35.0, bias + float(dense[features(x or "")].sum()))))) for x in texts]
+
+    return run
+
+
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, weight, bias = sent.value
-        dense = np.zeros(1 << BITS, np.float32)
-        dense[at] = weight
+        scored = scorer(sent.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                out = []
-                for text in part.column("text").to_pylist():
-                    f = features(text)
-                    out.append(1 / (1 + math.exp(-max(-35.0, min(35.0, bias + float(dense[f].astype(np.float64).sum()))))))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scored(part.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def accepted(docs: DataFrame, model, text_col: str = "text", most: float = 0.5) -> DataFrame:
+    """The documents whose score is below `most`, with all their columns; nothing is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scored = scorer(sent.value)
+        for batch in batches:
+            for part in slices(batch, text_col):
+                yield part.filter(pa.array([x < most for x in scored(part.column(text_col).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted."""
     out = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col)
