@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, jaccard, mixing, sharding, token_orc, topk, toxicity, wrappers
+from . import byte_bpe, exact_dedup, jaccard, mixing, repeats, sharding, token_orc, topk, toxicity, wrappers
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sharding": sharding.query,
     "op4_byte_bpe": byte_bpe.query,
     "op5_source_mixing": mixing.query,
+    "op6_repeated_passages": repeats.query,
     "op7_toxicity": toxicity.query,
     "op8_token_orc": token_orc.query,
     "op9_html_wrappers": wrappers.query,

@@ -67,17 +67,29 @@ def word_count(text: Column) -> Column:
 BUCKET_BITS = 32768  # of one bitmap of bitmap_construct_agg()
 
 
-def maybe_in(rows: DataFrame, wanted: DataFrame, column: str, bits: int = 1 << 21) -> DataFrame:
-    """Rows whose `column` may be among `wanted`: a bitmap test in the scan, with false positives, no false negatives.
-
-    The bitmap has `bits` bits (256 KiB for 2^21), whatever the input, so that it can be broadcast."""
+def _marked(rows: DataFrame, wanted: DataFrame, column: str, bits: int) -> DataFrame:
+    """rows with `_hit`: false only if `column` is surely not among `wanted`."""
     place = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
     marks = wanted.select(place.alias("_s")).select(F.floor(F.col("_s") / BUCKET_BITS).alias("_b"), (F.col("_s") % BUCKET_BITS).alias("_p"))
     marks = marks.groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_bits"))  # at most bits / BUCKET_BITS rows
     rows = rows.withColumn("_s", place).withColumn("_b", F.floor(F.col("_s") / BUCKET_BITS))
     byte = F.conv(F.hex(F.substring("_bits", ((F.col("_s") % BUCKET_BITS) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = rows.join(F.broadcast(marks), "_b").withColumn("_byte", byte)
-    return found.where("shiftright(_byte, cast(_s % 8 as int)) & 1 = 1").drop("_b", "_s", "_bits", "_byte")
+    found = rows.join(F.broadcast(marks), "_b", "left").withColumn("_byte", F.coalesce(byte, F.lit(0)))
+    return found.withColumn("_hit", F.expr("shiftright(_byte, cast(_s % 8 as int)) & 1 = 1")).drop("_b", "_s", "_bits", "_byte")
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, column: str, bits: int = 1 << 21) -> DataFrame:
+    """Rows whose `column` may be among `wanted`: a bitmap test in the scan, with false positives, no false negatives.
+
+    The bitmap has `bits` bits (256 KiB for 2^21), whatever the input, so that it can be broadcast."""
+    return _marked(rows, wanted, column, bits).where("_hit").drop("_hit")
+
+
+def without(rows: DataFrame, ids: DataFrame, column: str, bits: int = 1 << 21) -> DataFrame:
+    """Anti-join that moves only rows which the bitmap does not clear; nulls stay."""
+    marked = _marked(rows, ids, column, bits)
+    clear, rest = marked.where("not _hit"), marked.where("_hit").join(ids, column, "left_anti")
+    return clear.select(*rows.columns).unionByName(rest.select(*rows.columns))
 
 
 def components(edges: DataFrame, most: int = 40) -> DataFrame:
