@@ -52,13 +52,12 @@ def smooth(df: DataFrame, column: str, halflife: float | None) -> DataFrame:
         return df
     a = 1 - math.exp(-math.log(2) / halflife)
     reach = max(100, math.ceil(80 * halflife))
-    w = Window.partitionBy("ticker").orderBy("t_idx")
-    df = df.withColumn("_l", F.collect_list(column).over(w.rowsBetween(-reach, 0)))
+    past = Window.partitionBy("ticker").orderBy("t_idx").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_n", F.count(column).over(past))  # values so far: the frame below counts values, not rows
+    recent = Window.partitionBy("ticker").orderBy("_n").rangeBetween(-reach, 0)
+    df = df.withColumn("_l", F.collect_list(column).over(recent))
     value = F.aggregate(F.slice("_l", F.lit(2), F.greatest(F.size("_l") - 1, F.lit(0))), F.col("_l")[0], lambda y, x: y * (1 - a) + x * a)
-    carried = F.when(F.size("_l") > 0, value)
-    df = df.withColumn("_s", carried)
-    # beyond the frame a long gap carries the last smoothed value
-    return df.withColumn(column, F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_l", "_s")
+    return df.withColumn(column, F.when(F.size("_l") > 0, value)).drop("_l", "_n")
 
 
 def pct_rank(x: Column) -> Column:

@@ -68,7 +68,8 @@ def from_lineitem(spark: SparkSession, sf_dir: str, by: str = "nation", freq: st
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")
     rows = line.join(supplier, line.l_suppkey == supplier.s_suppkey).join(nation, supplier.s_nationkey == nation.n_nationkey)
     unit = F.col("l_extendedprice") / F.col("l_quantity")
-    price = F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6)
+    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long"))  # integers add up the same in any order
+    price = F.round(cents / F.lit(100.0) / F.sum("l_quantity"), 6)
     rows = rows.withColumns({"date": F.date_trunc(freq, "l_shipdate").cast("date"), "ticker": F.col("n_name" if by == "nation" else "s_name"), "sector": F.concat(F.lit("R"), F.col("n_regionkey").cast("string"))})
     return rows.groupBy("date", "ticker", "sector").agg(
         F.round(F.avg(unit), 6).alias("open"), F.max(unit).alias("high"), F.min(unit).alias("low"), price.alias("close"), price.alias("adj_close"), F.sum("l_quantity").alias("volume")
