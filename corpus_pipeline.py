@@ -43,7 +43,7 @@ def exact_dedup_stage(spark, docs, sf_dir):
 def jaccard_stage(spark, docs, sf_dir):
     """Of documents linked by 5-word shingles at 0.8 or more, the one with the smallest id stays."""
     found = shared.stored(jaccard.join(docs, words=5, num=80, den=100).where("doc_id <> component_id").select("doc_id"), "pipeline-near")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return shared.without(docs, found, "doc_id")
 
 
 @_stage

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import folded, maybe_in, stored
+from .shared import folded, maybe_in, stored, without
 
 FILTER_BITS = 1 << 21  # 256 KiB as a broadcast, whatever the input
 
@@ -72,13 +72,19 @@ def dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_c
 def survivors(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns.  Of rows that repeat the id and the text, one stays."""
     found = stored(dedup(docs, keep, id_col, text_col).where("group_size > 1"), "dedup-found")
-    lost = found.where("not kept").select(F.col("doc_id").alias(id_col))
-    again = found.where("kept").groupBy(F.col("doc_id").alias(id_col), "text_sha256").count().where("count > 1").select(id_col)
-    out = docs.join(lost, id_col, "left_anti").select(*docs.columns)
-    if again.isEmpty():
+    lost = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
+    out = without(docs, lost, id_col)
+    # rows that an id does not tell apart: ids that come twice with one text, and rows without an id
+    again = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id")
+    odd = stored(again.unionByName(found.where("doc_id is null").select("doc_id")).distinct(), "dedup-odd")
+    if odd.isEmpty():
         return out
-    once = out.join(again, id_col, "left_semi").withColumn("_folded", folded(F.col(text_col))).dropDuplicates([id_col, "_folded"])
-    return out.join(again, id_col, "left_anti").unionByName(once.select(*docs.columns))
+    odd_id = odd.select(F.col("doc_id").alias("_id"))
+    rest = out.join(odd_id, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    few = out.join(odd_id, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").withColumn("_sha", F.sha2(folded(F.col(text_col)).cast("binary"), 256))
+    named = found.where("keep_id is not null").select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep")).distinct()
+    few = few.join(named, "_sha", "left").where(F.col("_keep").isNull() | (F.col(id_col) == F.col("_keep"))).dropDuplicates([id_col, "_sha"])
+    return rest.unionByName(few.select(*docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

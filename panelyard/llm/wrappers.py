@@ -75,14 +75,19 @@ def tokens(page: str) -> list[tuple[str, str]]:
 
 
 # -- inference.  A wrapper: {"pages": n, "tags": [key], "slots": [slot]}, one slot more than tags.
-# A slot: {"keys": sorted token keys in it, "unit": the repeated unit or None, "gone": empty in some page, "text": a constant text or None}
+# A slot: {"keys": sorted token keys in it, "unit": the repeated unit or None, "gone": empty in some page, "text": a constant text or
+# None, "exact": the keys in order if all pages have the same}
+
+
+def unit_of(keys: list[str]) -> list[str] | None:
+    """The shortest unit that `keys` is whole copies of."""
+    return next((keys[:n] for n in range(1, min(16, len(keys)) + 1) if len(keys) % n == 0 and keys[:n] * (len(keys) // n) == keys), None)
 
 
 def slot(part: list[tuple[str, str]]) -> dict:
     keys = [k for k, _ in part]
     texts = [t for k, t in part if not k]
-    unit = next((keys[:n] for n in range(1, min(16, len(keys)) + 1) if len(keys) % n == 0 and keys[:n] * (len(keys) // n) == keys), None)
-    return {"keys": sorted(set(keys)), "unit": unit, "gone": not part, "text": " ".join(texts[0].split()) if len(texts) == 1 else None}
+    return {"keys": sorted(set(keys)), "unit": unit_of(keys), "gone": not part, "text": " ".join(texts[0].split()) if len(texts) == 1 else None, "exact": keys if len(keys) <= 64 else None}
 
 
 def joined(parts: list[dict]) -> dict:
@@ -90,13 +95,15 @@ def joined(parts: list[dict]) -> dict:
     full = [p for p in parts if p["keys"]]
     if len(full) == 1:
         return full[0] | {"gone": all(p["gone"] for p in parts)}
-    return {"keys": sorted({k for p in full for k in p["keys"]}), "unit": None, "gone": all(p["gone"] for p in parts), "text": None}
+    exact = None if any(p["exact"] is None for p in parts) else [k for p in parts for k in p["exact"]][:65]
+    exact = exact if exact is not None and len(exact) <= 64 else None
+    return {"keys": sorted({k for p in full for k in p["keys"]}), "unit": unit_of(exact) if exact else None, "gone": all(p["gone"] for p in parts), "text": None, "exact": exact}
 
 
 def either(a: dict, b: dict) -> dict:
     """The slot that holds what a holds and what b holds."""
     unit = a["unit"] if a["unit"] == b["unit"] else a["unit"] if not b["keys"] else b["unit"] if not a["keys"] else None
-    return {"keys": sorted({*a["keys"], *b["keys"]}), "unit": unit, "gone": a["gone"] or b["gone"], "text": a["text"] if a["text"] == b["text"] else None}
+    return {"keys": sorted({*a["keys"], *b["keys"]}), "unit": unit, "gone": a["gone"] or b["gone"], "text": a["text"] if a["text"] == b["text"] else None, "exact": a["exact"] if a["exact"] == b["exact"] else None}
 
 
 def from_page(stream: list[tuple[str, str]]) -> dict:
@@ -132,7 +139,7 @@ def reduced(w: dict, keep: set[str]) -> dict:
             slots.append(joined(run))
             run = [after]
         else:
-            run += [{"keys": [tag], "unit": None, "gone": False, "text": None}, after]
+            run += [{"keys": [tag], "unit": [tag], "gone": False, "text": None, "exact": [tag]}, after]
     return {"pages": w["pages"], "tags": tags, "slots": [*slots, joined(run)]}
 
 
