@@ -135,6 +135,16 @@ FULL = ", ".join([PANEL, FEATURES, COMBINE, "liq AS (SELECT * EXCLUDE (signal),
                   _ewma("mem", 3.0, "smo"), _neutral("smo", "signal", "sector", "neu"), "sig AS (SELECT * EXCLUDE (signal, fwd), round(resid, 7) AS signal, round(fwd, 9) AS fwd FROM neu)"])
 
 
+def _edges(n: int) -> str:
+    """How many interpolated edges lie below rank _r of _n, in doubles."""
+    out = []
+    for k in range(n + 1):
+        p = f"((_n - 1) * {1.0 if k == n else (k * (1.0 / n)) * 100 / 100!r}::DOUBLE)"
+        a, b, t = f"(1 + floor({p}))", f"(1 + least(floor({p}) + 1, _n - 1))", f"({p} - floor({p}))"
+        out.append(f"(CASE WHEN {t} < 0.5 THEN {a} + ({b} - {a}) * {t} ELSE {b} - ({b} - {a}) * (1 - {t}) END < _r)::INT")
+    return " + ".join(out)
+
+
 def W(steps: str, final: str) -> str:
     return f"WITH {steps} {final}"
 
@@ -167,6 +177,9 @@ SQL: dict[str, str] = {
     "neut_size": W(SIG + ", " + _neutral("sig", "signal", None, "neu"), f"SELECT date, ticker, {_r('resid', 7, 'x')} FROM neu"),
     "neut_full": W(SIG + ", " + _neutral("sig", "signal", "sector", "neu"), f"SELECT date, ticker, {_r('resid', 7, 'x')} FROM neu"),
     "rank_deciles": W(SIG + ", " + _deciles("sig", "signal", 5, "bucket", "dec"), "SELECT date, ticker, bucket FROM dec"),
+    "rank_deciles_wide": W(", ".join([_bars("s_name"), GRID, FILL, FEATURES, "x AS (SELECT date, ticker, ticker_ord, round(reversal_5d, 9) AS x FROM feat)",
+        "y AS (SELECT *, row_number() OVER (PARTITION BY date, x IS NULL ORDER BY x, ticker_ord) AS _r, count(x) OVER (PARTITION BY date) AS _n FROM x)"]),
+        f"SELECT date, ticker, CASE WHEN x IS NOT NULL AND _n > 1 THEN greatest({_edges(10)}, 1) - 1 END::INTEGER AS bucket FROM y"),
     "w_decile": W(WTS, f"SELECT date, ticker, {_r('weight')} FROM wts"),
     "w_sticky": W(SIG + ", " + _sticky("sig", "signal"), f"SELECT date, ticker, {_r('weight')} FROM wts"),
     "w_signal": W(SIG, f"SELECT date, ticker, {_r('coalesce(c / nullif(sum(abs(c)) OVER (PARTITION BY date), 0) * 2.0, 0)', 7, 'weight')} FROM (SELECT *, signal - avg(signal) OVER (PARTITION BY date) AS c FROM sig)"),
