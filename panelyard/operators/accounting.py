@@ -72,18 +72,25 @@ def equity(daily: DataFrame, column: str = "net", missing_as_zero: bool = False)
     return rows.select("date", "equity", (F.col("equity") / F.max("equity").over(path) - 1).alias("drawdown"))
 
 
-def summary(daily: DataFrame, column: str = "net", turnover: str | None = "turnover") -> DataFrame:
+def summary(daily: DataFrame, column: str = "net", turnover: str | None = "turnover", gross: bool = False) -> DataFrame:
+    """One row, in one pass over the series; gross: with the columns of gross_addons()."""
     x = F.col(column)
-    stats = daily.agg(
+    path = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # a series of dates
+    rows = daily.withColumn("_e", F.product(1 + x).over(path))
+    rows = rows.withColumn("_d", F.col("_e") / F.max("_e").over(path) - 1)
+    return rows.agg(
         (F.avg(x) * YEAR).alias("ann_return"), (F.stddev_pop(x) * math.sqrt(YEAR)).alias("ann_vol"), sharpe(x).alias("sharpe"), F.avg((x > 0).cast("double")).alias("hit_rate"),
-        skew(x).alias("skew"), F.count(x).alias("n_obs"), *([F.avg(turnover).alias("avg_turnover")] if turnover else []),
+        skew(x).alias("skew"), F.count(x).alias("n_obs"), *([F.avg(turnover).alias("avg_turnover")] if turnover else []), F.min("_d").alias("max_drawdown"), *(_gross() if gross else []),
     )
-    return stats.join(equity(daily, column).agg(F.min("drawdown").alias("max_drawdown")))
 
 
-def gross_addons(daily: DataFrame) -> DataFrame:
+def _gross() -> list:
     g, n = F.avg("gross") * YEAR, F.avg("net") * YEAR
-    return daily.agg(sharpe(F.col("gross")).alias("gross_sharpe"), g.alias("gross_ann_return"), (g - n).alias("cost_drag"))
+    return [sharpe(F.col("gross")).alias("gross_sharpe"), g.alias("gross_ann_return"), (g - n).alias("cost_drag")]
+
+
+def gross_addons(daily: DataFrame) -> DataFrame:
+    return daily.agg(*_gross())
 
 
 def decile_spread(per_decile: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def run(panel: DataFrame, config: Config, members: DataFrame | None = None, sign
 
 def report(result: Result) -> DataFrame:
     """One row: net summary, IC, gross numbers."""
-    return accounting.summary(result.returns).join(accounting.ic_summary(result.ic)).join(accounting.gross_addons(result.returns))
+    return accounting.summary(result.returns, gross=True).join(accounting.ic_summary(result.ic))
 
 
 def compare(panel: DataFrame, variants: dict[str, Config], members: DataFrame | None = None) -> DataFrame:
