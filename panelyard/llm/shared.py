@@ -103,13 +103,13 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     e = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = sign(e)
     for _ in range(most):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = stored(e, "edges")
+        # small star first: it folds what a node is linked to onto its smallest neighbour, which shrinks the table
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         pulled = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(pulled.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        e = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
         after = sign(e)
         if after == before:
             break
