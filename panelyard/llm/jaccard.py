@@ -4,11 +4,12 @@ Two documents link when the Jaccard similarity of their word-shingle sets reache
 document's connected component.  Three steps, none of which emits the pairs of a group:
 
 1. Candidates, exactly.  Linked sets of n tokens differ in at most k = floor((|x|+|y|)(1-t)/(1+t)) tokens.  Token
-   hashes are cut into more than k ranges, so at least one range holds the same tokens in both: each document emits one
-   key per range, for the range counts its partners may use (powers of two by set size).  A range's tokens are nearly
-   always peculiar to a text, so passages or lines that many documents share make no large groups.  Documents that
+   hashes are cut into more than k ranges, so at least one range holds the same tokens in both: each document emits the
+   keys of its first k + 1 ranges that are not empty, for the range counts its partners may use (powers of two by set
+   size); the shorter of two such lists has a range that agrees.  A range's tokens are nearly always peculiar to a text,
+   so passages or lines that many documents share make no large groups.  Documents that
    share a key are joined to the key's smallest one (a star, by a min() with partial aggregation), and stars are closed
-   to components.  A document with so many empty ranges that only those might agree emits keys for them, too.
+   to components.  A document with too few ranges that are not empty emits keys for the empty ones, too.
 2. Links, inside each candidate component.  A task builds a signature tree over its documents: nodes hold the OR and the
    AND of token bitmaps and the range of set sizes.  A dual traversal prunes node pairs by the largest overlap possible:
    a token whose bit is not in the other node's OR bitmap cannot be shared.  Pairs that union-find already has in one
@@ -94,17 +95,18 @@ class Threshold:
     def keys(self, tokens: np.ndarray) -> list[np.ndarray]:
         n, out = len(tokens), []
         largest = n * self.den // self.num
+        need = self.apart(n + largest) + 1  # of so many ranges that are not empty here, one agrees with any partner
         with np.errstate(over="ignore"):
             inner = mixed(tokens * ODD[1])
             for j in range(self.level(n), self.level(largest) + 1):
                 part = tokens >> np.uint64(64 - j) if j else np.zeros(n, np.uint64)
                 starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
                 here = part[starts]
-                out.append(mixed(np.add.reduceat(inner, starts) + here * ODD[0] + np.uint64(j) * ODD[2]))
-                empty = (1 << j) - len(starts)
-                if len(starts) <= self.apart(n + largest):  # only empty ranges might agree
+                keys = mixed(np.add.reduceat(inner, starts) + here * ODD[0] + np.uint64(j) * ODD[2])
+                out.append(keys[:need])
+                if len(keys) < need:  # only empty ranges might agree
                     gaps = np.setdiff1d(np.arange(1 << j, dtype=np.uint64), here)
-                    out.append(mixed(gaps * ODD[4] + np.uint64(j) * ODD[3] + ODD[1])) if empty else None
+                    out.append(mixed(gaps * ODD[4] + np.uint64(j) * ODD[3] + ODD[1]))
         return out
 
 
@@ -275,19 +277,44 @@ def solve(rows: DataFrame, t: Threshold) -> DataFrame:
     return rows.select(columns).groupBy("task").applyInArrow(solver(t), "u bigint, v bigint")
 
 
-def forest_links(sets: DataFrame, t: Threshold, task_tokens: int = TASK_TOKENS) -> DataFrame:
-    """Links (u, v) whose components are those of all links, from (node, comp, n, tokens)."""
-    sums = stored(sets.groupBy("comp").agg(F.sum("n").alias("total")), "jaccard-comps")
+def planned(wanted: DataFrame, task_tokens: int = TASK_TOKENS) -> DataFrame:
+    """wanted (doc_id, cls, comp, n) with `parts` (1: the component fits a task) and `task`.  Small components share
+    tasks; large ones are dealt into blocks by hash.  All from counts, before any set is fetched."""
+    sums = wanted.groupBy("comp").agg(F.ceil(F.sum("n") / task_tokens).cast("int").alias("parts"), F.sum("n").alias("total"))
+    sums = stored(sums, "jaccard-comps")
     total = sums.agg(F.sum("total")).first()[0] or 0
-    bins = max(1, -(-int(total) // task_tokens))
-    parts = F.ceil(F.col("total") / task_tokens).cast("int")
-    sets = sets.join(sums.withColumn("parts", parts).drop("total"), "comp")
-    own = F.when(F.col("parts") == 1, F.xxhash64(F.lit(0), F.pmod(F.xxhash64("comp"), F.lit(bins)))).otherwise(F.xxhash64("comp", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts"))))
-    start = sets.withColumns({"task": own, "label": F.col("node"), "side": F.lit(0)})
+    bins = max(1, -(-2 * int(total) // task_tokens))
+    block = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("parts"))
+    task = F.when(F.col("parts") == 1, F.xxhash64(F.lit(0), F.pmod(F.xxhash64("comp"), F.lit(bins)))).otherwise(F.xxhash64("comp", block))
+    return stored(wanted.join(sums.drop("total"), "comp").withColumn("task", task), "jaccard-planned")
+
+
+def token_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, comp, n, parts, task, tokens) for planned rows; node is the set's representative.  A row that repeats an id
+    and its text gives its set twice, which links nothing new."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["node", "comp", "n", "parts", "task", "tokens"], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        for batch in batches:
+            for part in slices(batch, "text"):
+                out = []
+                for node, comp, parts, task, cls, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "comp", "parts", "task", "cls", "text")), strict=True):
+                    s = shingles(text, words)
+                    if len(s) and set_key(s) == cls:  # a row that repeats an id may have another text
+                        out.append((node, comp, len(s), parts, task, s.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names)
+
+    near = maybe_in(rows, wanted.select("doc_id"), "doc_id", FILTER_BITS).join(wanted, "doc_id")
+    return near.select("doc_id", "comp", "parts", "task", "cls", "text").mapInArrow(run, "node bigint, comp bigint, n bigint, parts int, task bigint, tokens binary")
+
+
+def forest_links(sets: DataFrame, t: Threshold, any_big: bool, task_tokens: int = TASK_TOKENS) -> DataFrame:
+    """Links (u, v) whose components are those of all links, from token_sets()."""
+    start = sets.withColumns({"label": F.col("node"), "side": F.lit(0)})
     found = stored(solve(start, t), "jaccard-links")
-    big = stored(sets.where("parts > 1"), "jaccard-big")
-    if big.isEmpty():
+    if not any_big:
         return found
+    big = stored(sets.where("parts > 1").drop("task"), "jaccard-big")
 
     def labelled(links_: DataFrame) -> DataFrame:
         roots = components(links_)
@@ -309,33 +336,15 @@ def forest_links(sets: DataFrame, t: Threshold, task_tokens: int = TASK_TOKENS)
     return stored(found.unionByName(solve(last, t)), "jaccard-links")
 
 
-def token_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, comp, n, tokens) for wanted (doc_id, cls, comp); node is the set's representative."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                out = []
-                for node, comp, cls, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "comp", "cls", "text")), strict=True):
-                    s = shingles(text, words)
-                    if len(s) and set_key(s) == cls:  # a row that repeats an id may have another text
-                        out.append((node, comp, len(s), s.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["node", "comp", "n", "tokens"])
-
-    near = maybe_in(rows, wanted.select("doc_id"), "doc_id", FILTER_BITS).join(wanted, "doc_id")
-    sets = near.select("doc_id", "comp", "cls", "text").mapInArrow(run, "node bigint, comp bigint, n bigint, tokens binary")
-    return stored(sets, "jaccard-sets").dropDuplicates(["node"])
-
-
 def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", task_tokens: int = TASK_TOKENS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
     t = Threshold(num, den)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = stored(measured(rows, words), "jaccard-base")
-    classes = base.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    classes = base.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     comps = candidates(rows, words, t)
-    wanted = stored(classes.join(comps, "cls").select(F.col("rep").alias("doc_id"), "cls", "comp"), "jaccard-wanted")
-    found = components(forest_links(token_sets(rows, wanted, words), t, task_tokens))
+    wanted = planned(classes.join(comps, "cls").select(F.col("rep").alias("doc_id"), "cls", "comp", "n"), task_tokens)
+    found = components(forest_links(token_sets(rows, wanted, words), t, not wanted.where("parts > 1").isEmpty(), task_tokens))
     named = stored(classes.join(found, classes.rep == found.node, "left").select("cls", F.coalesce("root", "rep").alias("component_id")), "jaccard-classes")
     return base.join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
