@@ -28,6 +28,7 @@ from .shared import stored
 BITS = 22
 SAMPLE_ROWS = 12_000  # labelled rows for fitting, at most about this many
 STEMS = (3, 4, 5, 6)  # letters of a word's beginning that count as a word of their own: compounds share them
+CACHE_WORDS = 300_000  # entries of one worker's table of words
 UPDATES = 24_000  # passes over a small sample are repeated up to about this many updates
 MIN_ROWS, MIN_SHARE = 4, 0.02  # a coordinate counts if that many sample rows, and that share of the toxic ones, have it
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 1.0
@@ -35,20 +36,35 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 1.0
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 48 or 57 < b < 97 or 122 < b < 128 else b for b in range(256))
 
 
+def cut(text: str) -> list[bytes]:
+    return text.lower().encode().translate(FOLD).split()
+
+
+def stems(word: bytes) -> list[str]:
+    text = word.decode()
+    return [f"{n} {text[:n]}" for n in STEMS]
+
+
+def pairs(h: np.ndarray) -> np.ndarray:
+    """Hashes of neighbour pairs and of pairs with a gap of one, from the words' hashes."""
+    with np.errstate(over="ignore"):
+        near = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
+        gap = h[:-2] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:]
+    return np.concatenate([near ^ (near >> np.uint64(29)), gap ^ (gap >> np.uint64(31))])
+
+
+def coordinates(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def features(text: str) -> np.ndarray:
     """Coordinates of a text's words, word beginnings, neighbour pairs and pairs with a gap of one, each once."""
     import xxhash
 
-    digest = xxhash.xxh3_64_intdigest
-    words = text.lower().encode().translate(FOLD).decode().split()
+    digest, words = xxhash.xxh3_64_intdigest, cut(text)
     h = np.fromiter(map(digest, words), np.uint64, len(words))
-    distinct = set(words)
-    stems = [f"{n} {x}" for n in STEMS for x in {w[:n] for w in distinct}]
-    with np.errstate(over="ignore"):
-        near = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
-        gap = h[:-2] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:]
-    parts = [h, np.fromiter(map(digest, stems), np.uint64, len(stems)), near ^ (near >> np.uint64(29)), gap ^ (gap >> np.uint64(31))]
-    return np.unique((np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.int64))
+    begun = {x for w in set(words) for x in stems(w)}
+    return np.unique(coordinates(np.concatenate([h, np.fromiter(map(digest, begun), np.uint64, len(begun)), pairs(h)])))
 
 
 class Ftrl:
@@ -115,16 +131,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return ftrl.model()
 
 
-def scorer(model):
-    """texts -> scores, with the weights spread out once."""
-    at, weight, bias = model
-    dense = np.zeros(1 << BITS, np.float64)
-    dense[at] = weight
+class Scorer(dict):
+    """word -> hash, for as many words as fit; `telling` has the weighted coordinates of those words that have any."""
+
+    def __init__(self, model):
+        import xxhash
+
+        at, weight, self.bias = model
+        self.digest, self.telling, self.dense = xxhash.xxh3_64_intdigest, {}, np.zeros(1 << BITS, np.float64)
+        self.dense[at] = weight
 
-    def run(texts: list[str | None]) -> list[float]:
-        return [1 / (1 + math.exp(-max(-35.0, min(35.0, bias + float(dense[features(x or "")].sum()))))) for x in texts]
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = self.digest(word)
+        own = [x >> (64 - BITS) for x in (value, *map(self.digest, stems(word)))]
+        if any(self.dense[own]):
+            self.telling[word] = [x for x in own if self.dense[x]]
+        return value
 
-    return run
+    def score(self, text: str) -> float:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+            self.telling.clear()
+        words = cut(text)
+        h = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        found = coordinates(pairs(h))
+        found = set(found[self.dense[found] != 0].tolist())
+        for w in self.telling.keys() & words:
+            found.update(self.telling[w])
+        total = self.bias + float(self.dense[sorted(found)].sum())
+        return 1 / (1 + math.exp(-max(-35.0, min(35.0, total))))
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,10 +167,10 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scored = scorer(sent.value)
+        scorer = Scorer(sent.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scored(part.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([scorer.score(x) for x in part.column("text").to_pylist()], pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
@@ -146,10 +181,10 @@ def accepted(docs: DataFrame, model, text_col: str = "text", most: float = 0.5)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scored = scorer(sent.value)
+        scorer = Scorer(sent.value)
         for batch in batches:
             for part in slices(batch, text_col):
-                yield part.filter(pa.array([x < most for x in scored(part.column(text_col).to_pylist())], pa.bool_()))
+                yield part.filter(pa.array([scorer.score(x or "") < most for x in part.column(text_col).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
