@@ -314,26 +314,30 @@ def forest_links(sets: DataFrame, t: Threshold, any_big: bool, task_tokens: int
     found = stored(solve(start, t), "jaccard-links")
     if not any_big:
         return found
-    big = stored(sets.where("parts > 1").drop("task"), "jaccard-big")
+    big = stored(sets.where("parts > 1").select("node", "comp", "n", "parts", "tokens"), "jaccard-big")
+    names = big.drop("tokens")  # labels are joined to names; sets move only where they are compared
 
     def labelled(links_: DataFrame) -> DataFrame:
-        roots = components(links_)
-        return big.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        return stored(names.join(components(links_), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "jaccard-labels")
+
+    def with_tokens(chosen: DataFrame) -> DataFrame:
+        chosen = chosen.select("node", "comp", "task", "label", "side")
+        return maybe_in(big.select("node", "tokens"), chosen.select("node"), "node", FILTER_BITS).join(chosen, "node")
 
     # one member of each component that a block found, block by block
     heads = labelled(found).where("label = node")
     heads = heads.join(heads.groupBy("comp").agg(F.ceil(F.sum("n") / task_tokens).cast("int").alias("chunks")), "comp")
     heads = heads.withColumns({"task": F.xxhash64(F.lit(2), "comp", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("chunks"))), "side": F.lit(0)})
-    found = stored(found.unionByName(solve(heads, t)), "jaccard-links")
+    found = stored(found.unionByName(solve(with_tokens(heads), t)), "jaccard-links")
     # what is outside the largest component, with every block
-    now = stored(labelled(found), "jaccard-labels")
+    now = labelled(found)
     main = now.groupBy("comp", "label").count().groupBy("comp").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     rest = now.join(main, "comp").where("label <> main").drop("main")
     chunks = rest.groupBy("comp").agg(F.ceil(F.sum("n") / task_tokens).cast("int").alias("chunks"))
     rest = rest.join(chunks, "comp").withColumn("chunk", F.pmod(F.xxhash64(F.lit(4), "node"), F.col("chunks"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(1))
     every = now.join(chunks, "comp").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("side", F.lit(0))
     last = every.unionByName(rest, allowMissingColumns=True).withColumn("task", F.xxhash64(F.lit(5), "comp", "block", "chunk"))
-    return stored(found.unionByName(solve(last, t)), "jaccard-links")
+    return stored(found.unionByName(solve(with_tokens(last), t)), "jaccard-links")
 
 
 def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", task_tokens: int = TASK_TOKENS) -> DataFrame:
