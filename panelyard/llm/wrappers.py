@@ -14,7 +14,9 @@ and a host with a third of all pages is nowhere collected.
 Extraction matches a page against its host's wrapper: the tags of the wrapper's main element (article, main and the
 like) frame the slots that hold content, and groups of boilerplate in them (menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts, styles) are skipped.  Where a host has no single main element, all of its main
-elements count, or, without any, all of the body, less boilerplate and texts that are constant over MIN_PAGES pages.
+elements count, or, without any, all of the body, less boilerplate and texts that are constant over MIN_PAGES different
+pages.  Copies of a page have one vote together.  Titles (h1) stay, and a page of which less than a quarter would stay is
+taken for a near copy of the others and keeps its constants; so do pages without a host, which share no site.
 
 Blocks end at block-level tags and at <br>; character references are decoded once; white space in a block becomes one
 space; empty blocks are dropped; blocks are joined by one line feed.  Edge cases: null html is an empty page with an
@@ -24,6 +26,7 @@ has the empty host; repeated pages are extracted each; an empty table gives no r
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 from .arrowio import slices
 from .shared import stored
 
-MIN_PAGES = 3  # pages that must agree before a text is taken for the host's own
+MIN_PAGES = 3  # different pages that must agree before a text is taken for the host's own
 # Element names by their role, and the words that mark boilerplate or content in class, id and role.
 RAW = "script|style|noscript|template|svg|iframe|textarea|select|title"
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -74,7 +77,8 @@ def tokens(page: str) -> list[tuple[str, str]]:
     return [t for t in out if t[0] or t[1].strip()]
 
 
-# -- inference.  A wrapper: {"pages": n, "tags": [key], "slots": [slot]}, one slot more than tags.
+# -- inference.  A wrapper: {"pages": n, "votes": [digest], "tags": [key], "slots": [slot]}, one slot more than tags; votes are
+# the MIN_PAGES smallest digests of different pages, so that copies count once in whatever tasks they are read.
 # A slot: {"keys": sorted token keys in it, "unit": the repeated unit or None, "gone": empty in some page, "text": a constant text or
 # None, "exact": the keys in order if all pages have the same}
 
@@ -110,7 +114,8 @@ def from_page(stream: list[tuple[str, str]]) -> dict:
     counts = Counter(k for k, _ in stream)
     at = [i for i, (k, _) in enumerate(stream) if k and counts[k] == 1]
     edges = [-1, *at, len(stream)]
-    return {"pages": 1, "tags": [stream[i][0] for i in at], "slots": [slot(stream[a + 1 : b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]}
+    vote = hashlib.blake2b("\0".join(f"{k}\1{' '.join(t.split())}" for k, t in stream).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+    return {"pages": 1, "votes": [vote], "tags": [stream[i][0] for i in at], "slots": [slot(stream[a + 1 : b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]}
 
 
 def ascending(order: list[int]) -> list[int]:
@@ -140,7 +145,7 @@ def reduced(w: dict, keep: set[str]) -> dict:
             run = [after]
         else:
             run += [{"keys": [tag], "unit": [tag], "gone": False, "text": None, "exact": [tag]}, after]
-    return {"pages": w["pages"], "tags": tags, "slots": [*slots, joined(run)]}
+    return {"pages": w["pages"], "votes": w["votes"], "tags": tags, "slots": [*slots, joined(run)]}
 
 
 def align(a: dict, b: dict) -> dict:
@@ -151,7 +156,7 @@ def align(a: dict, b: dict) -> dict:
     keep = {shared[i] for i in ascending([place[k] for k in shared])}
     # a tag that is dropped turns up in a slot, so it can be no tag of the result; kept ones are unaffected
     a, b = reduced(a, keep), reduced(b, keep)
-    return {"pages": a["pages"] + b["pages"], "tags": a["tags"], "slots": [either(x, y) for x, y in zip(a["slots"], b["slots"], strict=True)]}
+    return {"pages": a["pages"] + b["pages"], "votes": sorted({*a["votes"], *b["votes"]})[:MIN_PAGES], "tags": a["tags"], "slots": [either(x, y) for x, y in zip(a["slots"], b["slots"], strict=True)]}
 
 
 def expression(w: dict) -> str:
@@ -197,7 +202,7 @@ class Reader:
         self.first = next((k for k in tags if k[0] != "/" and self.role(k) == "main"), None)
         end = "/" + self.first.partition(" ")[0] if self.first else None
         self.last = end if self.first and end in tags[tags.index(self.first) :] else None
-        self.fixed = {s["text"] for s in wrapper["slots"] if s["text"]} if wrapper["pages"] >= MIN_PAGES else set()
+        self.fixed = {s["text"] for s in wrapper["slots"] if s["text"]} if len(wrapper["votes"]) >= MIN_PAGES else set()
 
     def role(self, key: str) -> str:
         if key not in self.roles:
@@ -213,14 +218,20 @@ class Reader:
         return stream[start : keys.index(self.last, start) + 1] if self.last and self.last in keys[start:] else stream[start:]
 
     def text(self, page: str) -> str:
+        stream = self.framed(tokens(page))
+        whole = self.read(stream, set())
+        less = self.read(stream, self.fixed) if self.fixed else whole
+        return less if 4 * len(less) >= len(whole) else whole
+
+    def read(self, stream: list[tuple[str, str]], fixed: set[str]) -> str:
         blocks, run = [], []
+        element = ""  # the block-level element that was opened last
         opened: list[tuple[str, str]] = []  # elements with a role, or of the same name inside one: (name, role)
-        stream = self.framed(tokens(page))
         bounded = self.bounded and any(k and k[0] != "/" and self.role(k) == "main" for k, _ in stream)
 
         def close() -> None:
             block = " ".join(entities.unescape("".join(run)).split())
-            if block and (bounded or block not in self.fixed):
+            if block and (bounded or block not in fixed or element == "h1"):
                 blocks.append(block)
             run.clear()
 
@@ -234,6 +245,7 @@ class Reader:
             name = key[1:] if closing else key.partition(" ")[0]
             if name in BLOCKS:
                 close()
+                element = "" if closing else name
             if closing:
                 at = next((i for i in range(len(opened) - 1, -1, -1) if opened[i][0] == name), None)
                 # an unclosed boilerplate element ends with the element around it
@@ -275,6 +287,8 @@ def infer(pages: DataFrame) -> DataFrame:
         out = None
         for x in sorted(table.column("wrapper").to_pylist()):
             out = align(out, json.loads(x)) if out else json.loads(x)
+        if not table.column("host")[0].as_py():
+            out["votes"] = []  # no site: nothing is its own text
         return pa.table({"host": table.column("host")[:1], "wrapper": pa.array([json.dumps(out)])})
 
     parts = pages.select("host", "html").mapInArrow(fold, "host string, wrapper string")

@@ -287,6 +287,19 @@ def test_html_wrappers(spark):
     assert [got[k] for k in range(9)] == TEXTS * 3 and got[50] == "" and got[51] == "just text" and got[52] == TEXTS[0]
 
 
+@pytest.mark.parametrize("count", [1, 2, 3, 40])
+def test_html_wrappers_of_copied_pages(spark, count):
+    copy, near = "<body><h1>T</h1><p>Text</p></body>", "<body><h1>T</h1><p>A paragraph of some length</p><p>no. {}</p></body>"
+    rows = [(k, "http://copies.example/", copy) for k in range(count)] + [(1000 + k, f"http://near.example/{k}", near.format(k)) for k in range(count)]
+    rows += [(2000 + k, None, "just text") for k in range(count)] + [(3000 + k, "odd", f"<p>just text</p><p>{'word ' * 9}{k}</p>") for k in range(count)]
+    rows += [(4000 + k, f"http://site.example/{k}", f"<h1>Same title</h1><p>Story {k} goes on</p><p>Our site</p>") for k in range(count)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    for k in range(count):
+        assert got[k] == "T\nText" and got[1000 + k] == f"T\nA paragraph of some length\nno. {k}"
+        assert got[2000 + k] == "just text" and got[3000 + k] == f"just text\n{'word ' * 9}{k}"
+        assert got[4000 + k].startswith(f"Same title\nStory {k} goes on")
+
+
 def test_wrapper_alignment_does_not_depend_on_order():
     pages = [wrappers.from_page(wrappers.tokens(p)) for p in PAGES]
     show = lambda order: wrappers.expression(wrappers.align(wrappers.align(pages[order[0]], pages[order[1]]), pages[order[2]]))
