@@ -12,7 +12,7 @@ task folds the pages it reads into one wrapper a host, and one small merge per h
 and a host with a third of all pages is nowhere collected.
 
 Extraction matches a page against its host's wrapper: the tags of the wrapper's main element (article, main and the
-like) frame the slots that hold content, and groups of boilerplate in them (menus, headers, footers, sidebars, notices,
+like, whatever their ids) frame the slots that hold content, starting no later than the page's own first main element, and groups of boilerplate in them (menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts, styles) are skipped.  Where a host has no single main element, all of its main
 elements count, or, without any, all of the body, less boilerplate and texts that are constant over MIN_PAGES different
 pages.  Copies of a page have one vote together.  Titles (h1) stay, and a page of which less than a quarter would stay is
@@ -33,6 +33,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -56,6 +57,32 @@ NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
+def role(key: str) -> str:
+    """"boiler", "main" or "" for an opening tag's key."""
+    name, *marks = key.split(" ")
+    if name in BOILER:
+        return "boiler"
+    words: set[str] = set()
+    for mark in re.split(r" (?=class=|id=|role=)", key)[1:]:
+        kind, _, value = mark.partition("=")
+        if kind == "role" and value in BOILER_ROLES:
+            return "boiler"
+        words |= set(re.split(r"[^a-z0-9]+", value))
+    if words & BOILER_WORDS and name not in ("body", "html", "article", "main"):
+        return "boiler"
+    return "main" if name in MAIN or name in ("div", "section", "td") and words & MAIN_WORDS else ""
+
+
+@lru_cache(1 << 16)
+def named(key: str) -> str:
+    """A main element goes by its name and the words that mark it: its id and other classes may differ on every page."""
+    if " " not in key or role(key) != "main":
+        return key
+    name, _, marks = key.partition(" ")
+    words = sorted(MAIN_WORDS & set(re.split(r"[^a-z0-9]+", marks)))
+    return name if name in MAIN else f"{name} class={' '.join(words)}"
+
+
 def tokens(page: str) -> list[tuple[str, str]]:
     """(key, text): key is "" for a text, "name attributes" for an opening and "/name" for a closing tag."""
     out: list[tuple[str, str]] = []
@@ -73,7 +100,7 @@ def tokens(page: str) -> list[tuple[str, str]]:
             out.append(("/" + name[1].lower(), ""))
         else:
             marks = "".join(f" {a.lower()}={(b or c or d).strip().lower()}" for a, b, c, d in ATTRIBUTE.findall(x)) if "=" in x else ""
-            out.append((name[1].lower() + marks, ""))
+            out.append((named(name[1].lower() + marks), ""))
     return [t for t in out if t[0] or t[1].strip()]
 
 
@@ -173,22 +200,6 @@ def expression(w: dict) -> str:
 
 
 # -- extraction
-def role(key: str) -> str:
-    """"boiler", "main" or "" for an opening tag's key."""
-    name, *marks = key.split(" ")
-    if name in BOILER:
-        return "boiler"
-    words: set[str] = set()
-    for mark in re.split(r" (?=class=|id=|role=)", key)[1:]:
-        kind, _, value = mark.partition("=")
-        if kind == "role" and value in BOILER_ROLES:
-            return "boiler"
-        words |= set(re.split(r"[^a-z0-9]+", value))
-    if words & BOILER_WORDS and name not in ("body", "html", "article", "main"):
-        return "boiler"
-    return "main" if name in MAIN or name in ("div", "section", "td") and words & MAIN_WORDS else ""
-
-
 class Reader:
     """Extracts pages of one host."""
 
@@ -210,12 +221,35 @@ class Reader:
         return self.roles[key]
 
     def framed(self, stream: list[tuple[str, str]]) -> list[tuple[str, str]]:
-        """The slots of the wrapper's main element, with its tags; the whole stream where the wrapper has none."""
+        """The slots of the wrapper's main element, with its tags; the whole stream where the wrapper has none.  A main
+        element of the page that opens earlier (an article around it, say) takes its place, or one outside of boilerplate."""
         keys = [k for k, _ in stream]
         if self.first not in keys:
             return stream
-        start = keys.index(self.first)
-        return stream[start : keys.index(self.last, start) + 1] if self.last and self.last in keys[start:] else stream[start:]
+        start, last = keys.index(self.first), self.last
+        own = next(self.mains(keys), start)
+        if own < start or self.first.partition(" ")[0] not in MAIN:  # article and main count even in boilerplate, such as a form
+            start = own
+        if keys[start] != self.first:
+            last = "/" + keys[start].partition(" ")[0]
+            last = last if keys.count(last) == 1 else None
+        return stream[start : keys.index(last, start) + 1] if last and last in keys[start:] else stream[start:]
+
+    def mains(self, keys: list[str]) -> Iterator[int]:
+        """Where main elements open outside of boilerplate."""
+        around: list[tuple[str, bool]] = []  # open boilerplate elements, and elements of the same name inside one
+        for i, key in enumerate(keys):
+            name = key[1:] if key[:1] == "/" else key.partition(" ")[0]
+            if key[:1] == "/":
+                at = next((n for n in range(len(around) - 1, -1, -1) if around[n][0] == name), None)
+                if at is not None:
+                    del around[at:]
+            elif key and name not in VOID:
+                what = self.role(key)
+                if what == "main" and not any(boiler for _, boiler in around):
+                    yield i
+                if what == "boiler" or any(n == name for n, _ in around):
+                    around.append((name, what == "boiler"))
 
     def text(self, page: str) -> str:
         stream = self.framed(tokens(page))

@@ -300,6 +300,18 @@ def test_html_wrappers_of_copied_pages(spark, count):
         assert got[4000 + k].startswith(f"Same title\nStory {k} goes on")
 
 
+@pytest.mark.parametrize("count", [1, 2, 5])
+def test_html_wrappers_frame_starts_at_the_outermost_main_element(spark, count):
+    post = "<article id='post-{0}' class='post c{0}'><h1>Title {0}</h1><p>Lead {0}</p><div class='entry-content'><p>Body {0}</p></div><p>After {0}</p></article><div class='x'>Out {0}</div>"
+    either = ["<main><h1>Title {0}</h1><div class='entry-content'>Body {0}</div></main>", "<article><h1>Title {0}</h1><div class='entry-content'>Body {0}</div></article>"]
+    rows = [(k, f"http://ids.example/{k}", post.format(k)) for k in range(count)] + [(100 + k, f"http://mixed.example/{k}", either[k % 2].format(k)) for k in range(count)]
+    rows += [(200 + k, f"http://nested.example/{k}", f"<nav><div class='post'>Menu</div></nav><section id='s{k}' class='post n{k}'><h1>Title {k}</h1><article>Body {k}</article></section>") for k in range(count)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(count):
+        assert got[k] == f"Title {k}\nLead {k}\nBody {k}\nAfter {k}"
+        assert got[100 + k] == got[200 + k] == f"Title {k}\nBody {k}"
+
+
 def test_wrapper_alignment_does_not_depend_on_order():
     pages = [wrappers.from_page(wrappers.tokens(p)) for p in PAGES]
     show = lambda order: wrappers.expression(wrappers.align(wrappers.align(pages[order[0]], pages[order[1]]), pages[order[2]]))
