@@ -14,9 +14,13 @@ and a host with a third of all pages is nowhere collected.
 Extraction matches a page against its host's wrapper: the tags of the wrapper's main element (article, main and the
 like, whatever their ids) frame the slots that hold content, starting no later than the page's own first main element, and groups of boilerplate in them (menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts, styles) are skipped.  Where a host has no single main element, all of its main
-elements count, or, without any, all of the body, less boilerplate and texts that are constant over MIN_PAGES different
-pages.  Copies of a page have one vote together.  Titles (h1) stay, and a page of which less than a quarter would stay is
-taken for a near copy of the others and keeps its constants; so do pages without a host, which share no site.
+elements count, or, without any, all of the body, less boilerplate.
+
+A slot's first and last tokens that are the same on all pages, tags and texts, are the host's own once MIN_PAGES different
+pages agree (copies of a page have one vote together): blocks of such texts alone are dropped, in main elements as
+elsewhere.  Element names break ties: titles (h1) stay, and in main elements labels (LABELS) do.  A page of which less than
+a quarter would stay is taken for a near copy of the others and keeps its constants; so do pages without a host, which
+share no site.  Constants between varying parts of one slot, or on some pages only, are not told from content.
 
 Blocks end at block-level tags and at <br>; character references are decoded once; white space in a block becomes one
 space; empty blocks are dropped; blocks are joined by one line feed.  Edge cases: null html is an empty page with an
@@ -48,6 +52,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 BOILER = set("nav header footer aside form menu button dialog head".split())
 MAIN = set("article main".split())
+LABELS = set("h1 h2 h3 h4 h5 h6 th dt caption figcaption legend summary".split())
 BOILER_WORDS = set("nav navbar navigation menu header footer sidebar aside ad ads advert advertisement adverts banner sponsor sponsored promo cookie cookies consent notice notices alert popup modal newsletter subscribe signup comment comments reply replies disqus share sharing social related breadcrumb breadcrumbs pagination pager login search toolbar widget copyright".split())
 BOILER_ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 MAIN_WORDS = set("article content main post entry story".split())
@@ -107,7 +112,9 @@ def tokens(page: str) -> list[tuple[str, str]]:
 # -- inference.  A wrapper: {"pages": n, "votes": [digest], "tags": [key], "slots": [slot]}, one slot more than tags; votes are
 # the MIN_PAGES smallest digests of different pages, so that copies count once in whatever tasks they are read.
 # A slot: {"keys": sorted token keys in it, "unit": the repeated unit or None, "gone": empty in some page, "text": a constant text or
-# None, "exact": the keys in order if all pages have the same}
+# None, "exact": the keys in order if all pages have the same, "head", "tail": at most EDGE first and last tokens that all pages
+# share, texts by digest, "whole": head is all of the slot on every page (and tail is not kept)}
+EDGE = 64
 
 
 def unit_of(keys: list[str]) -> list[str] | None:
@@ -115,10 +122,40 @@ def unit_of(keys: list[str]) -> list[str] | None:
     return next((keys[:n] for n in range(1, min(16, len(keys)) + 1) if len(keys) % n == 0 and keys[:n] * (len(keys) // n) == keys), None)
 
 
+def marks(part: list[tuple[str, str]]) -> list[str]:
+    return [k or "=" + hashlib.blake2b(" ".join(t.split()).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest() for k, t in part]
+
+
+def edges(parts: list[dict]) -> dict:
+    """What slots in a row have at their ends."""
+    whole = all(p["whole"] for p in parts) and sum(len(p["head"]) for p in parts) <= EDGE
+    head, tail = [], []
+    for p in parts:
+        head += p["head"]
+        if not p["whole"]:
+            break
+    for p in () if whole else reversed(parts):
+        tail = (p["head"] if p["whole"] else p["tail"]) + tail
+        if not p["whole"]:
+            break
+    return {"head": head[:EDGE], "tail": tail[-EDGE:], "whole": whole}
+
+
+def shared_edges(a: dict, b: dict) -> dict:
+    same = lambda x, y: next((n for n, (v, w) in enumerate(zip(x, y, strict=False)) if v != w), min(len(x), len(y)))
+    if a["whole"] and b["whole"] and a["head"] == b["head"]:
+        return {"head": a["head"], "tail": [], "whole": True}
+    tails = [x["head"] if x["whole"] else x["tail"] for x in (a, b)]
+    n = same(tails[0][::-1], tails[1][::-1])
+    return {"head": a["head"][: same(a["head"], b["head"])], "tail": tails[0][len(tails[0]) - n :], "whole": False}
+
+
 def slot(part: list[tuple[str, str]]) -> dict:
     keys = [k for k, _ in part]
+    ends = marks(part) if len(part) <= EDGE else None
+    ends = {"head": ends, "tail": [], "whole": True} if ends is not None else {"head": marks(part[:EDGE]), "tail": marks(part[-EDGE:]), "whole": False}
     texts = [t for k, t in part if not k]
-    return {"keys": sorted(set(keys)), "unit": unit_of(keys), "gone": not part, "text": " ".join(texts[0].split()) if len(texts) == 1 else None, "exact": keys if len(keys) <= 64 else None}
+    return {"keys": sorted(set(keys)), "unit": unit_of(keys), "gone": not part, "text": " ".join(texts[0].split()) if len(texts) == 1 else None, "exact": keys if len(keys) <= 64 else None} | ends
 
 
 def joined(parts: list[dict]) -> dict:
@@ -128,21 +165,21 @@ def joined(parts: list[dict]) -> dict:
         return full[0] | {"gone": all(p["gone"] for p in parts)}
     exact = None if any(p["exact"] is None for p in parts) else [k for p in parts for k in p["exact"]][:65]
     exact = exact if exact is not None and len(exact) <= 64 else None
-    return {"keys": sorted({k for p in full for k in p["keys"]}), "unit": unit_of(exact) if exact else None, "gone": all(p["gone"] for p in parts), "text": None, "exact": exact}
+    return {"keys": sorted({k for p in full for k in p["keys"]}), "unit": unit_of(exact) if exact else None, "gone": all(p["gone"] for p in parts), "text": None, "exact": exact} | edges(parts)
 
 
 def either(a: dict, b: dict) -> dict:
     """The slot that holds what a holds and what b holds."""
     unit = a["unit"] if a["unit"] == b["unit"] else a["unit"] if not b["keys"] else b["unit"] if not a["keys"] else None
-    return {"keys": sorted({*a["keys"], *b["keys"]}), "unit": unit, "gone": a["gone"] or b["gone"], "text": a["text"] if a["text"] == b["text"] else None, "exact": a["exact"] if a["exact"] == b["exact"] else None}
+    return {"keys": sorted({*a["keys"], *b["keys"]}), "unit": unit, "gone": a["gone"] or b["gone"], "text": a["text"] if a["text"] == b["text"] else None, "exact": a["exact"] if a["exact"] == b["exact"] else None} | shared_edges(a, b)
 
 
 def from_page(stream: list[tuple[str, str]]) -> dict:
     counts = Counter(k for k, _ in stream)
     at = [i for i, (k, _) in enumerate(stream) if k and counts[k] == 1]
-    edges = [-1, *at, len(stream)]
+    bounds = [-1, *at, len(stream)]
     vote = hashlib.blake2b("\0".join(f"{k}\1{' '.join(t.split())}" for k, t in stream).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-    return {"pages": 1, "votes": [vote], "tags": [stream[i][0] for i in at], "slots": [slot(stream[a + 1 : b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]}
+    return {"pages": 1, "votes": [vote], "tags": [stream[i][0] for i in at], "slots": [slot(stream[a + 1 : b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]}
 
 
 def ascending(order: list[int]) -> list[int]:
@@ -171,7 +208,7 @@ def reduced(w: dict, keep: set[str]) -> dict:
             slots.append(joined(run))
             run = [after]
         else:
-            run += [{"keys": [tag], "unit": [tag], "gone": False, "text": None, "exact": [tag]}, after]
+            run += [{"keys": [tag], "unit": [tag], "gone": False, "text": None, "exact": [tag], "head": [tag], "tail": [], "whole": True}, after]
     return {"pages": w["pages"], "votes": w["votes"], "tags": tags, "slots": [*slots, joined(run)]}
 
 
@@ -213,19 +250,34 @@ class Reader:
         self.first = next((k for k in tags if k[0] != "/" and self.role(k) == "main"), None)
         end = "/" + self.first.partition(" ")[0] if self.first else None
         self.last = end if self.first and end in tags[tags.index(self.first) :] else None
-        self.fixed = {s["text"] for s in wrapper["slots"] if s["text"]} if len(wrapper["votes"]) >= MIN_PAGES else set()
+        # Slots with texts of the host's own: (slot, tokens at its start, tokens at its end).
+        texts = lambda x: any(k[0] == "=" for k in x)
+        ends = [(i, s["head"], s["tail"]) for i, s in enumerate(wrapper["slots"])] if len(wrapper["votes"]) >= MIN_PAGES else []
+        self.fixed = [(i, len(head) if texts(head) else 0, len(tail) if texts(tail) else 0) for i, head, tail in ends if texts(head) or texts(tail)]
 
     def role(self, key: str) -> str:
         if key not in self.roles:
             self.roles[key] = role(key)
         return self.roles[key]
 
-    def framed(self, stream: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    def constant(self, stream: list[tuple[str, str]]) -> set[int]:
+        """Where a page has the host's own texts: the page is matched against the wrapper, tag by tag."""
+        if not self.fixed:
+            return set()
+        place = {k: i for i, (k, _) in enumerate(stream)}
+        bounds = [-1, *(place[k] for k in self.wrapper["tags"]), len(stream)]
+        out: set[int] = set()
+        for i, head, tail in self.fixed:
+            out.update(range(bounds[i] + 1, bounds[i] + 1 + head))
+            out.update(range(bounds[i + 1] - tail, bounds[i + 1]))
+        return out
+
+    def framed(self, stream: list[tuple[str, str]]) -> tuple[int, int]:
         """The slots of the wrapper's main element, with its tags; the whole stream where the wrapper has none.  A main
         element of the page that opens earlier (an article around it, say) takes its place, or one outside of boilerplate."""
         keys = [k for k, _ in stream]
         if self.first not in keys:
-            return stream
+            return 0, len(stream)
         start, last = keys.index(self.first), self.last
         own = next(self.mains(keys), start)
         if own < start or self.first.partition(" ")[0] not in MAIN:  # article and main count even in boilerplate, such as a form
@@ -233,7 +285,7 @@ class Reader:
         if keys[start] != self.first:
             last = "/" + keys[start].partition(" ")[0]
             last = last if keys.count(last) == 1 else None
-        return stream[start : keys.index(last, start) + 1] if last and last in keys[start:] else stream[start:]
+        return start, keys.index(last, start) + 1 if last and last in keys[start:] else len(stream)
 
     def mains(self, keys: list[str]) -> Iterator[int]:
         """Where main elements open outside of boilerplate."""
@@ -252,28 +304,35 @@ class Reader:
                     around.append((name, what == "boiler"))
 
     def text(self, page: str) -> str:
-        stream = self.framed(tokens(page))
+        stream = tokens(page)
+        low, high = self.framed(stream)
+        fixed = {i - low for i in self.constant(stream) if low <= i < high}
+        stream = stream[low:high]
         whole = self.read(stream, set())
-        less = self.read(stream, self.fixed) if self.fixed else whole
+        less = self.read(stream, fixed) if fixed else whole
         return less if 4 * len(less) >= len(whole) else whole
 
-    def read(self, stream: list[tuple[str, str]], fixed: set[str]) -> str:
+    def read(self, stream: list[tuple[str, str]], fixed: set[int]) -> str:
         blocks, run = [], []
         element = ""  # the block-level element that was opened last
         opened: list[tuple[str, str]] = []  # elements with a role, or of the same name inside one: (name, role)
+        own = False  # a text of the run is the page's own
         bounded = self.bounded and any(k and k[0] != "/" and self.role(k) == "main" for k, _ in stream)
 
         def close() -> None:
+            nonlocal own
             block = " ".join(entities.unescape("".join(run)).split())
-            if block and (bounded or block not in fixed or element == "h1"):
+            if block and (own or element == "h1" or bounded and element in LABELS):
                 blocks.append(block)
             run.clear()
+            own = False
 
         inside, outside = 0, 0  # open main elements, open boilerplate elements
-        for key, text in stream:
+        for i, (key, text) in enumerate(stream):
             if not key:
                 if not outside and (inside or not bounded):
                     run.append(text)
+                    own = own or i not in fixed
                 continue
             closing = key[0] == "/"
             name = key[1:] if closing else key.partition(" ")[0]
