@@ -26,6 +26,11 @@ def _stage(function):
     return run
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with `_name`: rows that repeat an id are documents of their own (no two have one text after exact dedup)."""
+    return docs.withColumn("_name", F.xxhash64("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)))
+
+
 @_stage
 def toxicity_stage(spark, docs, sf_dir):
     """Documents that the classifier scores 0.5 or more go."""
@@ -42,15 +47,23 @@ def exact_dedup_stage(spark, docs, sf_dir):
 @_stage
 def jaccard_stage(spark, docs, sf_dir):
     """Of documents linked by 5-word shingles at 0.8 or more, the one with the smallest id stays."""
-    found = shared.stored(jaccard.join(docs, words=5, num=80, den=100).where("doc_id <> component_id").select("doc_id"), "pipeline-near")
-    return shared.without(docs, found, "doc_id")
+    rows = _named(docs)
+    near = jaccard.join(rows, words=5, num=80, den=100, id_col="_name").where("doc_id <> component_id").select(F.col("doc_id").alias("_name"), "component_id")
+    near = shared.stored(near, "pipeline-near")
+    # a component goes by one of its names, and the document with the smallest id may be another one
+    members = near.unionByName(near.select(F.col("component_id").alias("_name"), "component_id")).distinct()
+    members = shared.stored(shared.maybe_in(rows.select("doc_id", "_name"), members, "_name").join(members, "_name").distinct(), "pipeline-members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_name"))).getField("_name").alias("_first"))
+    lost = members.join(first, "component_id").where("_name <> _first").select("_name")
+    return shared.without(rows, shared.stored(lost, "pipeline-lost"), "_name").select(*docs.columns)
 
 
 @_stage
 def mixing_stage(spark, docs, sf_dir):
     """Every document is repeated as often as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = _named(docs)
+    copies = mixing.mix(rows, also=("_name",)).where("copies > 0").select("_name", F.col("copies").alias("_copies"))
+    taken = rows.join(copies, "_name")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 

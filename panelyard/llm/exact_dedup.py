@@ -72,18 +72,20 @@ def dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_c
 def survivors(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns.  Of rows that repeat the id and the text, one stays."""
     found = stored(dedup(docs, keep, id_col, text_col).where("group_size > 1"), "dedup-found")
+    ids = found.where("doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
+    # rows that an id does not tell apart: ids that come more than once, and rows without an id
+    again = maybe_in(docs.select(id_col), ids, id_col).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_id"))
+    odd = stored(again.unionByName(found.where("doc_id is null").select(F.col("doc_id").alias("_id"))).distinct(), "dedup-odd")
     lost = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    out = without(docs, lost, id_col)
-    # rows that an id does not tell apart: ids that come twice with one text, and rows without an id
-    again = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id")
-    odd = stored(again.unionByName(found.where("doc_id is null").select("doc_id")).distinct(), "dedup-odd")
     if odd.isEmpty():
-        return out
-    odd_id = odd.select(F.col("doc_id").alias("_id"))
-    rest = out.join(odd_id, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
-    few = out.join(odd_id, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").withColumn("_sha", F.sha2(folded(F.col(text_col)).cast("binary"), 256))
-    named = found.where("keep_id is not null").select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep")).distinct()
-    few = few.join(named, "_sha", "left").where(F.col("_keep").isNull() | (F.col(id_col) == F.col("_keep"))).dropDuplicates([id_col, "_sha"])
+        return without(docs, lost, id_col)
+    is_odd = F.col(id_col).eqNullSafe(F.col("_id"))
+    out = without(docs, lost.join(odd, is_odd, "left_anti"), id_col)
+    rest = out.join(odd, is_odd, "left_anti")
+    few = out.join(odd, is_odd, "left_semi").withColumn("_sha", F.sha2(folded(F.col(text_col)).cast("binary"), 256))
+    # these go by id and text: a row stays if its text is in no group, or once if its id is the group's
+    named = found.select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"), F.lit(True).alias("_group")).distinct()
+    few = few.join(named, "_sha", "left").where(F.col("_group").isNull() | F.col(id_col).eqNullSafe(F.col("_keep"))).dropDuplicates([id_col, "_sha"])
     return rest.unionByName(few.select(*docs.columns))
 
 

@@ -45,16 +45,18 @@ def targets(rows: DataFrame, weights=(1, 2, 3), cap: float = 3.0) -> DataFrame:
     return share.select("source", "nth", "source_size", "target", offset.alias("offset"))
 
 
-def mix(docs: DataFrame, weights=(1, 2, 3), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken: how often the mix takes each document, and in words."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+def mix(docs: DataFrame, weights=(1, 2, 3), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken: how often the mix takes each document, and in words.
+
+    Columns in `also` come along, and tell rows apart that repeat an id."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *also)
     rows = stored(rows, "mix-sizes")
     share = targets(rows, weights, cap)
     share = stored(share, "mix-targets")
     part = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2), 16, 10).cast("int") % PARTS
     rows = rows.withColumns({"class": size_class(F.col("size")), "part": part})
     placed = rows.alias("r").join(share.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
-    placed = placed.select("doc_id", "size", "class", "part", "nth", "source_size", "target", "offset")
+    placed = placed.select("doc_id", "size", "class", "part", "nth", "source_size", "target", "offset", *also)
     placed = stored(placed, "mix-rows")
     counts = placed.groupBy("nth", "class", "part").agg(F.count("*").alias("n"))
     classes = counts.groupBy("nth", "class").agg(F.sum("n").alias("n"))
@@ -62,12 +64,12 @@ def mix(docs: DataFrame, weights=(1, 2, 3), cap: float = 3.0, id_col: str = "doc
     classes = classes.select("nth", "class", F.coalesce(F.sum("n").over(Window.partitionBy("nth").orderBy("class").rowsBetween(*ahead)), F.lit(0)).alias("base"))
     parts = counts.select("nth", "class", "part", F.coalesce(F.sum("n").over(Window.partitionBy("nth", "class").orderBy("part").rowsBetween(*ahead)), F.lit(0)).alias("inner"))
     starts = parts.join(classes, ["nth", "class"]).select("nth", "class", "part", (F.col("base") + F.col("inner")).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("nth", "class", "part").orderBy("size", F.col("doc_id").asc_nulls_last()))
+    rank = F.row_number().over(Window.partitionBy("nth", "class", "part").orderBy("size", F.col("doc_id").asc_nulls_last(), *also))
     ranked = placed.withColumn("rank", rank).join(starts, ["nth", "class", "part"])
     expected = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
     k = (F.col("start") + F.col("rank")).cast("double")
     copies = (F.floor(k * expected + F.col("offset")) - F.floor((k - 1) * expected + F.col("offset"))).cast("long")
-    return ranked.select("doc_id", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return ranked.select("doc_id", "size", "source_size", "target", copies.alias("copies"), *also).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
