@@ -240,7 +240,11 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
     name = F.xxhash64("doc_id", "sha")
     spare = stored(base.join(copies, "sha").where("doc_id <> first or doc_id is null").select(name.alias("name")), "repeat-spare")
     long = rows.where(F.octet_length("text") >= length).withColumn("sha", digest(F.col("text")))
-    long = without(long.withColumn("name", name), spare, "name")
+    named = long.withColumn("name", name)
+    long = without(named, spare, "name")
+    orphans = copies.where("first is null").select("sha")  # no copy has an id: any one of them stands for all
+    if not orphans.isEmpty():
+        long = long.unionByName(stored(named.where("doc_id is null").join(orphans, "sha").dropDuplicates(["sha"]).select(*named.columns), "repeat-orphans"))
     long = long.select(F.xxhash64("sha").alias("did"), "text")
     found = windows(long, length, gram, hot_runs, block_buckets)
     # texts with copies go as a whole; the others with repeated windows are cut

@@ -213,6 +213,15 @@ def test_repeated_passages(spark, monkeypatch, hot, block):
     assert got == brute_repeats(rows, 40)
 
 
+def test_repeated_passages_of_copies_without_an_id(spark):
+    rng = random.Random(12)
+    a, b, c, d = ("".join(rng.choice("abcdeé ") for _ in range(90)) for _ in range(4))
+    rows = [(None, a + b, "s"), (None, a + b, "s"), (None, a + b, "s"), (1, c + b, "s"), (2, a, "s"), (None, d, "s"), (3, d[:70], "s"), (4, c[10:60], "s")]
+    out = repeats.remove(documents(spark, rows), 40, 10).collect()
+    got = collections.Counter((r.doc_id, r.n_bytes, sum(s.high - s.low for s in r.spans), len(r.spans), r.kept_sha256) for r in out)
+    assert got == brute_repeats(rows, 40)
+
+
 def test_toxicity_finds_planted_words(spark):
     rng = random.Random(6)
     words = [f"{a}{b}" for a in "ba be bi bo bu da de di do du".split() for b in "ka ke ki ko ku la le li lo lu".split()]
