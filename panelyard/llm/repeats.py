@@ -130,7 +130,7 @@ def has(marks: np.ndarray, buckets: np.ndarray) -> np.ndarray:
 
 
 def picked(rows: DataFrame, block: int, blocks: int, marks, hot, length: int, gram: int, want_hot: bool) -> DataFrame:
-    """Runs of the block's repeated buckets: (bucket, did, at, data), or, of hot ones, windows: (print, did, at)."""
+    """Runs of the block's repeated buckets: (bucket, did, at, data), or, of hot ones, windows: (bucket, did, at, print)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, heated = marks.value, hot.value
@@ -147,15 +147,15 @@ def picked(rows: DataFrame, block: int, blocks: int, marks, hot, length: int, gr
                             data = text[s : s + n + length - 1]
                             if want_hot:
                                 prints = fingerprints(np.frombuffer(data, np.uint8), length, 1).view(np.int64)
-                                out += [(p, did, s + i) for i, p in enumerate(prints.tolist())]
+                                out += [(b, did, s + i, p) for i, p in enumerate(prints.tolist())]
                             else:
                                 out.append((b, did, s, data))
                 if out:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())[: 3 if want_hot else 4]
-                    names = ["print" if want_hot else "bucket", "did", "at", "data"][: len(kinds)]
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64() if want_hot else pa.binary())
+                    names = ["bucket", "did", "at", "print" if want_hot else "data"]
                     yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names)
 
-    return rows.select("did", "text").mapInArrow(run, "print bigint, did bigint, at bigint" if want_hot else "bucket bigint, did bigint, at bigint, data binary")
+    return rows.select("did", "text").mapInArrow(run, "bucket bigint, did bigint, at bigint, print bigint" if want_hot else "bucket bigint, did bigint, at bigint, data binary")
 
 
 def matcher(length: int):
@@ -177,6 +177,10 @@ def matcher(length: int):
         prints = np.concatenate(prints)
         order = np.argsort(prints, kind="stable")
         same = prints[order[1:]] == prints[order[:-1]]
+        bucket = np.repeat(table.column("bucket").to_numpy(), many)
+        if (same & (bucket[order[1:]] != bucket[order[:-1]])).any():  # two buckets share a fingerprint
+            order = np.lexsort((bucket, prints))
+            same = (prints[order[1:]] == prints[order[:-1]]) & (bucket[order[1:]] == bucket[order[:-1]])
         again = np.zeros(len(prints), bool)
         again[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         row = np.repeat(np.arange(len(parts)), many)
@@ -208,9 +212,9 @@ def windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: i
         if any_hot:
             prints = picked(rows, block, blocks, marks, hot, length, gram, True)
             prints = stored(prints, "repeat-prints")
-            often = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+            often = prints.groupBy("bucket", "print").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "print")
             often = stored(often, "repeat-often")
-            found = found.unionByName(prints.join(often, "print").select("did", F.col("at").alias("low"), F.col("at").alias("high")))
+            found = found.unionByName(prints.join(often, ["bucket", "print"]).select("did", F.col("at").alias("low"), F.col("at").alias("high")))
         found = stored(found, "repeat-windows")
         out = found if out is None else out.unionByName(found)
     return out

@@ -222,6 +222,14 @@ def test_repeated_passages_of_copies_without_an_id(spark):
     assert got == brute_repeats(rows, 40)
 
 
+def test_repeated_passages_compare_buckets_too(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "fingerprints", lambda data, size, which: np.zeros(len(data) - size + 1, np.uint64))
+    table = pa.table({"bucket": [1, 2, 1, 3], "did": [1, 2, 3, 4], "at": [0, 0, 5, 0], "data": [b"a" * 9] * 4})
+    assert sorted(repeats.matcher(9)(table).column("did").to_pylist()) == [1, 3]
+
+
 def test_toxicity_finds_planted_words(spark):
     rng = random.Random(6)
     words = [f"{a}{b}" for a in "ba be bi bo bu da de di do du".split() for b in "ka ke ki ko ku la le li lo lu".split()]
