@@ -7,18 +7,22 @@ document's connected component.  Three steps, none of which emits the pairs of a
    hashes are cut into more than k ranges, so at least one range holds the same tokens in both: each document emits the
    keys of its first k + 1 ranges that are not empty, for the range counts its partners may use (powers of two by set
    size); the shorter of two such lists has a range that agrees.  A range's tokens are nearly always peculiar to a text,
-   so passages or lines that many documents share make no large groups.  Documents that
-   share a key are joined to the key's smallest one (a star, by a min() with partial aggregation), and stars are closed
-   to components.  A document with too few ranges that are not empty emits keys for the empty ones, too.
+   so passages or lines that many documents share make no large groups.  Rows that share a key are folded in the scan
+   already (one row a key and slice of the scan, and an edge for each other row), move once, and are read in key order
+   as a stream: each is joined to the key's smallest one (a star), and stars are closed to components.  A document with
+   too few ranges that are not empty emits keys for the empty ones, too.
 2. Links, inside each candidate component.  A task builds a signature tree over its documents: nodes hold the OR and the
    AND of token bitmaps and the range of set sizes.  A dual traversal prunes node pairs by the largest overlap possible:
    a token whose bit is not in the other node's OR bitmap cannot be shared.  Pairs that union-find already has in one
    component are skipped; the rest are settled by the exact sets.  A task returns links of a spanning forest only.
-   Components beyond TASK_TOKENS are dealt by hash into blocks: each block is joined with itself; then the blocks'
-   remaining components by one member each; then what is outside the largest component with every block.
+   Components beyond TASK_TOKENS are dealt by hash into blocks.  Some members (guests, a bounded share of a block) go to
+   every block, so that families of near copies become one component across blocks at once, and sets move once.  What
+   is then outside the largest component of its group is compared with all of the group: as a broadcast against the
+   stored sets while it has at most REST_TOKENS, block by block otherwise.
 3. Components over all links, by star contraction.
 
-Only representatives of equal sets take part in 1 and 2 (the smallest id of each set), so copies cost nothing.
+Only representatives of equal sets take part in 1 and 2 (the smallest id of each set), so copies cost nothing.  Sets are
+equal when 128 bits of hash over their tokens are; tokens are 64-bit hashes of shingles.
 
 Edge cases: a null or empty text, or one without words, has the empty set and is linked with nothing, not even its
 like; with fewer words than a shingle has, the whole sequence is the one shingle; a null id is a document like others
@@ -35,10 +39,11 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, functions as F
 
 from .arrowio import slices
-from .shared import components, maybe_in, stored
+from .shared import components, filter_bits, maybe_in, stored
 
 TASK_TOKENS = 2_000_000  # of the sets that one group holds (16 MB)
-FILTER_BITS = 1 << 23  # 1 MiB
+GUESTS = 8  # guests take one part in so many of a block
+REST_TOKENS = 1_000_000  # of sets that are broadcast (8 MB)
 BITMAP_WORDS = 32  # 2,048 bits a document
 LEAF = 48
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -68,10 +73,12 @@ def shingles(text: str, words: int) -> np.ndarray:
         return np.unique(mixed(out + ODD[2]))
 
 
-def set_key(tokens: np.ndarray) -> int:
+def set_key(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits of hash as two longs."""
     import xxhash
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
+    first, second = np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), np.int64).tolist()
+    return first, second
 
 
 class Threshold:
@@ -112,20 +119,28 @@ class Threshold:
 
 # -- documents to sets, and sets to candidate components
 def measured(rows: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, cls (a 64-bit hash of the set; null for the empty set)."""
+    """doc_id, n_shingles, cls, cls2 (128 bits of hash of the set; null for the empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = [shingles(x, words) for x in part.column("text").to_pylist()]
                 n = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "cls"])
+                cls = [set_key(s) if len(s) else (None, None) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, *(pa.array([c[i] for c in cls], pa.int64()) for i in (0, 1))], ["doc_id", "n_shingles", "cls", "cls2"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, cls bigint")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, cls bigint, cls2 bigint")
+
+
+def pairs_of(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Distinct pairs (u, v) with u <> v."""
+    pairs = np.stack([u, v], axis=1)[u != v]
+    return np.unique(pairs, axis=0) if len(pairs) else pairs
 
 
 def keyed(rows: DataFrame, words: int, t: Threshold) -> DataFrame:
-    """key, cls: one row per range and document."""
+    """(key, cls, other): one row per range and document with other null; where documents of one slice share a key, one
+    row for all of them, and an edge (cls, other) for each other one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,20 +151,47 @@ def keyed(rows: DataFrame, words: int, t: Threshold) -> DataFrame:
                     if len(s):
                         new = t.keys(s)
                         keys += new
-                        cls.append(np.full(sum(map(len, new)), set_key(s), np.int64))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(cls))], ["key", "cls"])
-
-    return rows.select("text").mapInArrow(run, "key bigint, cls bigint")
+                        cls.append(np.full(sum(map(len, new)), set_key(s)[0], np.int64))
+                if not keys:
+                    continue
+                k, c = np.concatenate(keys).view(np.int64), np.concatenate(cls)
+                order = np.lexsort((c, k))
+                k, c = k[order], c[order]
+                new = np.concatenate([[True], k[1:] != k[:-1]])
+                edges = pairs_of(c, c[new][np.cumsum(new) - 1])
+                yield pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array(c[new]), pa.nulls(int(new.sum()), pa.int64())], ["key", "cls", "other"])
+                if len(edges):  # dealt by cls, which is as good as random
+                    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["key", "cls", "other"])
+
+    return rows.select("text").mapInArrow(run, "key bigint, cls bigint, other bigint")
+
+
+def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over keyed() rows in the order of keys: edges (u, v), each row with its key's first one.  It holds one
+    batch and one row, however often a key comes."""
+    last, first = None, 0
+    for batch in batches:
+        is_edge = batch.column("other").is_valid().to_numpy(zero_copy_only=False)
+        key, cls = batch.column("key").to_numpy(), batch.column("cls").to_numpy()
+        other = batch.column("other").fill_null(0).to_numpy()
+        found = [pairs_of(cls[is_edge], other[is_edge])]
+        key, cls = key[~is_edge], cls[~is_edge]
+        if len(key):
+            new = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])
+            heads = np.concatenate([[first], cls[new]])
+            own = heads[np.cumsum(new)]
+            found.append(pairs_of(cls, own))
+            last, first = int(key[-1]), int(own[-1])
+        pairs = np.concatenate(found)
+        if len(pairs):
+            pairs = pairs_of(pairs[:, 0], pairs[:, 1])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
 
 def candidates(rows: DataFrame, words: int, t: Threshold) -> DataFrame:
     """(cls, comp): sets that share a key with another set, by component."""
-    keys = keyed(rows, words, t)
-    shared = keys.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
-    shared = stored(shared, "jaccard-keys")
-    star = maybe_in(keys, shared.select("key"), "key", FILTER_BITS).join(shared, "key")
-    return components(star.select(F.col("cls").alias("u"), F.col("low").alias("v"))).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
+    keys = keyed(rows, words, t).repartition("key").sortWithinPartitions("key")
+    return components(keys.mapInArrow(starred, "u bigint, v bigint")).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
 
 
 # -- links inside a component
@@ -189,10 +231,14 @@ class SignatureTree:
         return self.nodes[a, b]
 
 
-def bits_of(tokens: np.ndarray) -> np.ndarray:
-    out = np.zeros(BITMAP_WORDS, np.uint64)
-    at = tokens & np.uint64(BITMAP_WORDS * 64 - 1)
-    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+def bitmaps_of(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of BITMAP_WORDS words for each set."""
+    out = np.zeros((len(sets), BITMAP_WORDS), np.uint64)
+    for at in range(0, len(sets), 1024):
+        some = sets[at : at + 1024]
+        bits = np.zeros((len(some), BITMAP_WORDS * 64), bool)
+        bits[np.repeat(np.arange(len(some)), [len(x) for x in some]), np.concatenate(some) & np.uint64(BITMAP_WORDS * 64 - 1)] = True
+        out[at : at + 1024] = np.packbits(bits, axis=1).view(np.uint64)
     return out
 
 
@@ -204,10 +250,9 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def links(sets: list[np.ndarray], t: Threshold, left: list[int], right: list[int] | None, forest: Forest) -> Iterator[tuple[int, int]]:
+def links(sets: list[np.ndarray], bitmaps: np.ndarray, t: Threshold, left: list[int], right: list[int] | None, forest: Forest) -> Iterator[tuple[int, int]]:
     """Links (i, j) that join two trees of the forest, among `left` or between `left` and `right`."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    bitmaps = np.array([bits_of(s) for s in sets]).reshape(len(sets), BITMAP_WORDS)
     a = SignatureTree(left, sizes, bitmaps)
     b = a if right is None else SignatureTree(right, sizes, bitmaps)
     todo = [((0, len(a.members)), (0, len(b.members)))]
@@ -248,15 +293,19 @@ def links(sets: list[np.ndarray], t: Threshold, left: list[int], right: list[int
                 yield i, j
 
 
+SOLVED = "u bigint, v bigint, comp bigint, big boolean, tokens binary"
+
+
 def solver(t: Threshold):
-    """applyInArrow: rows (task, comp, node, label, side, tokens) to links (u, v).  side 0 is joined with itself where
-    the group has no side 1, and with side 1 otherwise; rows of one label are connected already."""
+    """applyInArrow: rows (task, comp, node, label, side, keep, tokens) to links (u, v, comp, big).  side 0 is joined with
+    itself where the group has no side 1, and with side 1 otherwise; rows of one label are connected already.  Rows with
+    `keep` come back with their sets (u is the node, v null): what is compared again later needs not move again."""
 
     def run(table: pa.Table) -> pa.Table:
         comp, node, label, side = (np.asarray(table.column(c).to_pylist(), dtype=np.int64) for c in ("comp", "node", "label", "side"))
+        keep, big = (table.column(c).to_numpy().astype(bool) for c in ("keep", "big"))
         raw = table.column("tokens")
-        u: list[int] = []
-        v: list[int] = []
+        u, v, of, large = [], [], [], []
         order = np.argsort(comp, kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
             sets = [np.frombuffer(raw[int(r)].as_py(), np.uint64) for r in rows]
@@ -264,93 +313,153 @@ def solver(t: Threshold):
             for i, r in enumerate(rows):
                 forest.join(first.setdefault(int(label[r]), i), i)
             left, right = [i for i, r in enumerate(rows) if side[r] == 0], [i for i, r in enumerate(rows) if side[r]]
-            for i, j in links(sets, t, left, right or None, forest):
+            for i, j in links(sets, bitmaps_of(sets), t, left, right or None, forest):
                 u.append(int(node[rows[i]]))
                 v.append(int(node[rows[j]]))
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+                of.append(int(comp[rows[i]]))
+                large.append(bool(big[rows[i]]))
+        names = ["u", "v", "comp", "big", "tokens"]
+        out = pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(of, pa.int64()), pa.array(large, pa.bool_()), pa.nulls(len(u), pa.binary())], names)
+        if not keep.any():
+            return out
+        kept = table.filter(pa.array(keep))
+        sets = pa.table([kept.column("node"), pa.nulls(len(kept), pa.int64()), kept.column("comp"), pa.array([True] * len(kept)), kept.column("tokens")], names)
+        return pa.concat_tables([out, sets])
 
     return run
 
 
 def solve(rows: DataFrame, t: Threshold) -> DataFrame:
-    columns = ["task", "comp", "node", "label", "side", "tokens"]
-    return rows.select(columns).groupBy("task").applyInArrow(solver(t), "u bigint, v bigint")
+    return rows.select("task", "comp", "node", "label", "side", "keep", "big", "tokens").groupBy("task").applyInArrow(solver(t), SOLVED)
 
 
 def planned(wanted: DataFrame, task_tokens: int = TASK_TOKENS) -> DataFrame:
-    """wanted (doc_id, cls, comp, n) with `parts` (1: the component fits a task) and `task`.  Small components share
-    tasks; large ones are dealt into blocks by hash.  All from counts, before any set is fetched."""
-    sums = wanted.groupBy("comp").agg(F.ceil(F.sum("n") / task_tokens).cast("int").alias("parts"), F.sum("n").alias("total"))
-    sums = stored(sums, "jaccard-comps")
+    """wanted (doc_id, cls, cls2, comp, n) with `parts` (1: the component fits a task), `block`, `guest` and `bin`.
+    Small components share tasks (bins); large ones are dealt into blocks by hash.  All from counts, before any set is
+    fetched."""
+    sums = stored(wanted.groupBy("comp").agg(F.sum("n").alias("total")), "jaccard-comps")
     total = sums.agg(F.sum("total")).first()[0] or 0
     bins = max(1, -(-2 * int(total) // task_tokens))
-    block = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("parts"))
-    task = F.when(F.col("parts") == 1, F.xxhash64(F.lit(0), F.pmod(F.xxhash64("comp"), F.lit(bins)))).otherwise(F.xxhash64("comp", block))
-    return stored(wanted.join(sums.drop("total"), "comp").withColumn("task", task), "jaccard-planned")
+    large = sums.where(F.col("total") > task_tokens).select("comp", F.ceil(F.col("total") / task_tokens).cast("int").alias("parts"), F.lit(task_tokens // GUESTS) / F.col("total"))
+    large = large.toDF("comp", "parts", "share")  # at most one row for each task_tokens tokens
+    out = wanted.join(large, "comp", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    guest = F.coalesce(F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30), F.lit(False))
+    out = out.withColumns({"guest": guest, "block": F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("parts")).cast("int"), "bin": F.pmod(F.xxhash64("comp"), F.lit(bins))})
+    return stored(out.drop("share"), "jaccard-planned")
 
 
 def token_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, comp, n, parts, task, tokens) for planned rows; node is the set's representative.  A row that repeats an id
-    and its text gives its set twice, which links nothing new."""
+    """(node, comp, parts, block, own, bin, tokens) for planned rows; node is the set's representative, and own is false
+    for a guest.  A row that repeats an id and its text gives its set twice, which links nothing new."""
+    names, kinds = ["node", "comp", "parts", "block", "own", "bin", "tokens"], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["node", "comp", "n", "parts", "task", "tokens"], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
         for batch in batches:
             for part in slices(batch, "text"):
-                out = []
-                for node, comp, parts, task, cls, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "comp", "parts", "task", "cls", "text")), strict=True):
-                    s = shingles(text, words)
-                    if len(s) and set_key(s) == cls:  # a row that repeats an id may have another text
-                        out.append((node, comp, len(s), parts, task, s.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names)
-
-    near = maybe_in(rows, wanted.select("doc_id"), "doc_id", FILTER_BITS).join(wanted, "doc_id")
-    return near.select("doc_id", "comp", "parts", "task", "cls", "text").mapInArrow(run, "node bigint, comp bigint, n bigint, parts int, task bigint, tokens binary")
+                out, size = [], 0
+                for r in part.to_pylist():
+                    s = shingles(r["text"], words)
+                    if len(s) and set_key(s) == (r["cls"], r["cls2"]):  # a row that repeats an id may have another text
+                        packed = s.tobytes()
+                        for block in range(r["parts"]) if r["guest"] else (r["block"],):
+                            out.append((r["doc_id"], r["comp"], r["parts"], block, block == r["block"], r["bin"], packed))
+                            size += len(packed)
+                            if size > 1 << 24:
+                                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names)
+                                out, size = [], 0
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names)
+
+    near = maybe_in(rows, wanted.select("doc_id"), "doc_id", filter_bits(wanted.count())).join(wanted, "doc_id")
+    near = near.select("doc_id", "comp", "parts", "block", "guest", "bin", "cls", "cls2", "text")
+    return near.mapInArrow(run, "node bigint, comp bigint, parts int, block int, own boolean, bin bigint, tokens binary")
+
+
+def compared(big: DataFrame, rest: dict[int, tuple[list, list, list]], t: Threshold) -> DataFrame:
+    """Links between stored sets and the broadcast `rest`: {comp: (nodes, labels, sets as bytes)}.  Nothing moves."""
+    sent = big.sparkSession.sparkContext.broadcast(rest)
 
-
-def forest_links(sets: DataFrame, t: Threshold, any_big: bool, task_tokens: int = TASK_TOKENS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: dict[int, tuple] = {}
+        for batch in batches:
+            for part in slices(batch, "tokens", 1 << 24):
+                u, v = [], []
+                by_comp: dict[int, list[int]] = {}
+                for i, c in enumerate(part.column("comp").to_pylist()):
+                    by_comp.setdefault(c, []).append(i)
+                node, raw = part.column("u").to_pylist(), part.column("tokens")
+                for c, mine in by_comp.items():
+                    if c not in ready:
+                        nodes, labels, packed = sent.value[c]
+                        others = [np.frombuffer(x, np.uint64) for x in packed]
+                        ready[c] = (nodes, labels, others, bitmaps_of(others))
+                    nodes, labels, others, marks = ready[c]
+                    own = [np.frombuffer(raw[i].as_py(), np.uint64) for i in mine]
+                    names = [node[i] for i in mine] + nodes
+                    forest, first = Forest(len(names)), {}
+                    for i, x in enumerate([*names[: len(own)], *labels]):
+                        forest.join(first.setdefault((i >= len(own), x), i), i)
+                    same = {x: i for i, x in enumerate(nodes)}
+                    for i, x in enumerate(names[: len(own)]):
+                        if x in same:  # a document of the rest itself
+                            forest.join(i, len(own) + same[x])
+                    for i, j in links(own + others, np.concatenate([bitmaps_of(own), marks]), t, list(range(len(own))), list(range(len(own), len(names))), forest):
+                        u.append(names[i])
+                        v.append(names[j])
+                if u:
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return big.where(F.col("comp").isin(list(rest))).select("u", "comp", "tokens").mapInArrow(run, "u bigint, v bigint")
+
+
+def forest_links(sets: DataFrame, t: Threshold, any_big: bool, task_tokens: int = TASK_TOKENS, rest_tokens: int = REST_TOKENS) -> DataFrame:
     """Links (u, v) whose components are those of all links, from token_sets()."""
-    start = sets.withColumns({"label": F.col("node"), "side": F.lit(0)})
-    found = stored(solve(start, t), "jaccard-links")
+    is_big = F.col("parts") > 1
+    task = F.when(is_big, F.xxhash64("comp", "block")).otherwise(F.xxhash64(F.lit(0), "bin"))
+    start = sets.withColumns({"label": F.col("node"), "side": F.lit(0), "big": is_big, "keep": is_big & F.col("own"), "task": task})
+    solved = stored(solve(start, t), "jaccard-solved")
+    found = solved.where("v is not null").select("u", "v")
     if not any_big:
         return found
-    big = stored(sets.where("parts > 1").select("node", "comp", "n", "parts", "tokens"), "jaccard-big")
-    names = big.drop("tokens")  # labels are joined to names; sets move only where they are compared
-
-    def labelled(links_: DataFrame) -> DataFrame:
-        return stored(names.join(components(links_), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "jaccard-labels")
-
-    def with_tokens(chosen: DataFrame) -> DataFrame:
-        chosen = chosen.select("node", "comp", "task", "label", "side")
-        return maybe_in(big.select("node", "tokens"), chosen.select("node"), "node", FILTER_BITS).join(chosen, "node")
-
-    # one member of each component that a block found, block by block
-    heads = labelled(found).where("label = node")
-    heads = heads.join(heads.groupBy("comp").agg(F.ceil(F.sum("n") / task_tokens).cast("int").alias("chunks")), "comp")
-    heads = heads.withColumns({"task": F.xxhash64(F.lit(2), "comp", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("chunks"))), "side": F.lit(0)})
-    found = stored(found.unionByName(solve(with_tokens(heads), t)), "jaccard-links")
-    # what is outside the largest component, with every block
-    now = labelled(found)
+    big = solved.where("v is null")  # sets move again only where they must
+    names = big.select(F.col("u").alias("node"), "comp", (F.octet_length("tokens") / 8).cast("long").alias("n"))
+    roots = components(solved.where("v is not null and big").select("u", "v"))
+    now = stored(names.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root").distinct(), "jaccard-labels")
     main = now.groupBy("comp", "label").count().groupBy("comp").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    rest = now.join(main, "comp").where("label <> main").drop("main")
-    chunks = rest.groupBy("comp").agg(F.ceil(F.sum("n") / task_tokens).cast("int").alias("chunks"))
-    rest = rest.join(chunks, "comp").withColumn("chunk", F.pmod(F.xxhash64(F.lit(4), "node"), F.col("chunks"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(1))
-    every = now.join(chunks, "comp").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("side", F.lit(0))
-    last = every.unionByName(rest, allowMissingColumns=True).withColumn("task", F.xxhash64(F.lit(5), "comp", "block", "chunk"))
-    return stored(found.unionByName(solve(with_tokens(last), t)), "jaccard-links")
-
-
-def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", task_tokens: int = TASK_TOKENS) -> DataFrame:
+    rest = stored(now.join(main, "comp").where("label <> main").drop("main"), "jaccard-rest")
+    left = rest.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("rows")).first()
+    if left["rows"] == 0:
+        return found
+    with_sets = lambda chosen: maybe_in(big.select(F.col("u").alias("node"), "tokens"), chosen.select("node"), "node", filter_bits(left["rows"])).dropDuplicates(["node"]).join(chosen, "node")
+    if left["tokens"] <= rest_tokens:
+        by_comp: dict[int, tuple[list, list, list]] = {}
+        for r in with_sets(rest).select("comp", "node", "label", "tokens").toLocalIterator():  # at most rest_tokens
+            for out, x in zip(by_comp.setdefault(r["comp"], ([], [], [])), (r["node"], r["label"], bytes(r["tokens"])), strict=True):
+                out.append(x)
+        more = compared(big, by_comp, t)
+    else:
+        chunks = rest.groupBy("comp").agg(F.ceil(F.sum("n") / task_tokens).cast("int").alias("chunks"))
+        blocks = now.groupBy("comp").agg(F.ceil(F.sum("n") / task_tokens).cast("int").alias("blocks"))
+        plan = chunks.join(blocks, "comp")
+        of = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n))
+        asked = with_sets(rest).join(plan, "comp").withColumn("chunk", of(4, "chunks")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
+        every = big.select(F.col("u").alias("node"), "tokens").join(now, "node").join(plan, "comp").withColumn("block", of(1, "blocks")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("side", F.lit(0))
+        last = every.unionByName(asked).withColumns({"task": F.xxhash64(F.lit(5), "comp", "block", "chunk"), "keep": F.lit(False), "big": F.lit(True)})
+        more = solve(last, t).select("u", "v")
+    return found.unionByName(stored(more, "jaccard-links"))
+
+
+def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", task_tokens: int = TASK_TOKENS, rest_tokens: int = REST_TOKENS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
     t = Threshold(num, den)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = stored(measured(rows, words), "jaccard-base")
-    classes = base.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    classes = base.where("cls is not null and doc_id is not null").groupBy("cls", "cls2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     comps = candidates(rows, words, t)
-    wanted = planned(classes.join(comps, "cls").select(F.col("rep").alias("doc_id"), "cls", "comp", "n"), task_tokens)
-    found = components(forest_links(token_sets(rows, wanted, words), t, not wanted.where("parts > 1").isEmpty(), task_tokens))
-    named = stored(classes.join(found, classes.rep == found.node, "left").select("cls", F.coalesce("root", "rep").alias("component_id")), "jaccard-classes")
-    return base.join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    wanted = planned(classes.join(comps, "cls").select(F.col("rep").alias("doc_id"), "cls", "cls2", "comp", "n"), task_tokens)
+    found = components(forest_links(token_sets(rows, wanted, words), t, not wanted.where("parts > 1").isEmpty(), task_tokens, rest_tokens))
+    named = stored(classes.join(found, classes.rep == found.node, "left").select("cls", "cls2", F.coalesce("root", "rep").alias("component_id")), "jaccard-classes")
+    return base.join(named, ["cls", "cls2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

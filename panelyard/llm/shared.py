@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -35,9 +36,11 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below spark.checkpoint.dir; a temporary folder only where that setting is missing."""
+    """A new path below spark.checkpoint.dir; a temporary folder only where that setting is missing and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="panelyard-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -65,30 +68,39 @@ def word_count(text: Column) -> Column:
 
 
 BUCKET_BITS = 32768  # of one bitmap of bitmap_construct_agg()
+LEAST_BITS, MOST_BITS = 1 << 21, 1 << 27  # of a filter: 256 KiB to 16 MiB as a broadcast
 
 
-def _marked(rows: DataFrame, wanted: DataFrame, column: str, bits: int) -> DataFrame:
-    """rows with `_hit`: false only if `column` is surely not among `wanted`."""
+def filter_bits(n: int) -> int:
+    """Bits of a filter over n values: 16 a value within the bounds; beyond them it clears less, and is never wrong."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n - 1).bit_length())) if n else LEAST_BITS
+
+
+def _marked(rows: DataFrame, wanted: DataFrame, column: str, bits: int) -> tuple[DataFrame, str]:
+    """rows with one more column, whose name comes second: false only if `column` is surely not among `wanted`."""
+    tag = uuid.uuid4().hex[:12]  # no column of the input has such a name
+    slot, block, marks_col, byte, hit = (f"_{x}_{tag}" for x in ("slot", "block", "marks", "byte", "hit"))
     place = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
-    marks = wanted.select(place.alias("_s")).select(F.floor(F.col("_s") / BUCKET_BITS).alias("_b"), (F.col("_s") % BUCKET_BITS).alias("_p"))
-    marks = marks.groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_bits"))  # at most bits / BUCKET_BITS rows
-    rows = rows.withColumn("_s", place).withColumn("_b", F.floor(F.col("_s") / BUCKET_BITS))
-    byte = F.conv(F.hex(F.substring("_bits", ((F.col("_s") % BUCKET_BITS) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = rows.join(F.broadcast(marks), "_b", "left").withColumn("_byte", F.coalesce(byte, F.lit(0)))
-    return found.withColumn("_hit", F.expr("shiftright(_byte, cast(_s % 8 as int)) & 1 = 1")).drop("_b", "_s", "_bits", "_byte")
+    marks = wanted.select(place.alias(slot)).select(F.floor(F.col(slot) / BUCKET_BITS).alias(block), (F.col(slot) % BUCKET_BITS).alias("at"))
+    marks = marks.groupBy(block).agg(F.bitmap_construct_agg("at").alias(marks_col))  # at most bits / BUCKET_BITS rows
+    rows = rows.withColumn(slot, place).withColumn(block, F.floor(F.col(slot) / BUCKET_BITS))
+    value = F.conv(F.hex(F.substring(marks_col, ((F.col(slot) % BUCKET_BITS) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(marks), block, "left").withColumn(byte, F.coalesce(value, F.lit(0)))
+    return found.withColumn(hit, F.expr(f"shiftright({byte}, cast({slot} % 8 as int)) & 1 = 1")).drop(block, slot, marks_col, byte), hit
 
 
-def maybe_in(rows: DataFrame, wanted: DataFrame, column: str, bits: int = 1 << 21) -> DataFrame:
+def maybe_in(rows: DataFrame, wanted: DataFrame, column: str, bits: int = LEAST_BITS) -> DataFrame:
     """Rows whose `column` may be among `wanted`: a bitmap test in the scan, with false positives, no false negatives.
 
-    The bitmap has `bits` bits (256 KiB for 2^21), whatever the input, so that it can be broadcast."""
-    return _marked(rows, wanted, column, bits).where("_hit").drop("_hit")
+    The bitmap has `bits` bits (see filter_bits), at most MOST_BITS, so that it can be broadcast."""
+    found, hit = _marked(rows, wanted, column, bits)
+    return found.where(F.col(hit)).drop(hit)
 
 
-def without(rows: DataFrame, ids: DataFrame, column: str, bits: int = 1 << 21) -> DataFrame:
+def without(rows: DataFrame, ids: DataFrame, column: str, bits: int = LEAST_BITS) -> DataFrame:
     """Anti-join that moves only rows which the bitmap does not clear; nulls stay."""
-    marked = _marked(rows, ids, column, bits)
-    clear, rest = marked.where("not _hit"), marked.where("_hit").join(ids, column, "left_anti")
+    marked, hit = _marked(rows, ids, column, bits)
+    clear, rest = marked.where(~F.col(hit)), marked.where(F.col(hit)).join(ids, column, "left_anti")
     return clear.select(*rows.columns).unionByName(rest.select(*rows.columns))
 
 

@@ -177,7 +177,10 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
 
 
 def accepted(docs: DataFrame, model, text_col: str = "text", most: float = 0.5) -> DataFrame:
-    """The documents whose score is below `most`, with all their columns; nothing is shuffled."""
+    """The documents whose score is below `most`, with all their columns; nothing is shuffled.  A model that has learned
+    nothing (no labels) rejects nothing."""
+    if not len(model[0]) and not model[2]:
+        return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -59,8 +60,14 @@ def test_exact_dedup_survivors_and_lookup(spark):
     assert {r.doc_id: r.known for r in exact_dedup.lookup(index, new).collect()} == {1: True, 2: False}
 
 
+def word_sets(text, words):
+    """Shingle sets by the contract's own words, without the operator's code."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", fold(text))
+    return {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+
+
 def brute_components(rows, words, num, den):
-    sets = [jaccard.shingles(t or "", words) for _, t, _ in rows]
+    sets = [word_sets(t, words) for _, t, _ in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -70,8 +77,8 @@ def brute_components(rows, words, num, den):
 
     for a in range(len(rows)):
         for b in range(a):
-            if len(sets[a]) and len(sets[b]):
-                both = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+            if sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
                 if den * both >= num * (len(sets[a]) + len(sets[b]) - both):
                     root[find(a)] = find(b)
     members = collections.defaultdict(list)
@@ -80,8 +87,8 @@ def brute_components(rows, words, num, den):
     return {rows[k][0]: (len(sets[k]), min(members[find(k)])) for k in range(len(rows))}
 
 
-@pytest.mark.parametrize(("words", "num", "task_tokens"), [(3, 90, 2_000_000), (5, 80, 300)])
-def test_ngram_jaccard(spark, words, num, task_tokens):
+@pytest.mark.parametrize(("words", "num", "task_tokens", "rest_tokens"), [(3, 90, 2_000_000, 1), (5, 80, 300, 0), (5, 80, 300, 10**6)])
+def test_ngram_jaccard(spark, words, num, task_tokens, rest_tokens):
     rng, rows = random.Random(words), []
     for _ in range(14):
         base = [f"w{rng.randrange(2000)}" for _ in range(rng.choice([1, 2, 3, 9, 30, 80, 200]))]
@@ -89,9 +96,9 @@ def test_ngram_jaccard(spark, words, num, task_tokens):
             w = list(base)
             for _ in range(rng.choice([0, 0, 1, 2, 5])):
                 w[rng.randrange(len(w))] = f"v{rng.randrange(2000)}"
-            rows.append((len(rows), rng.choice([" ", "\n"]).join(w), "s"))
+            rows.append((len(rows), rng.choice([" ", "\n", "\u00a0 ", " É"]).join(w), "s"))
     rows += [(len(rows), None, "s"), (len(rows) + 1, "", "s"), (len(rows) + 2, " \t", "s"), (len(rows) + 3, "A B C d " * 5000, "s"), (len(rows) + 4, "a b c D " * 5000, "s")]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(documents(spark, rows), words, num, 100, task_tokens=task_tokens).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(documents(spark, rows), words, num, 100, task_tokens=task_tokens, rest_tokens=rest_tokens).collect()}
     assert got == brute_components(rows, words, num, 100)
 
 
