@@ -4,13 +4,14 @@ Two documents link when the Jaccard similarity of their word-shingle sets reache
 document's connected component.  Three steps, none of which emits the pairs of a group:
 
 1. Candidates, exactly.  Linked sets of n tokens differ in at most k = floor((|x|+|y|)(1-t)/(1+t)) tokens.  Token
-   hashes are cut into more than k ranges, so at least one range holds the same tokens in both: each document emits the
-   keys of its first k + 1 ranges that are not empty, for the range counts its partners may use (powers of two by set
-   size); the shorter of two such lists has a range that agrees.  A range's tokens are nearly always peculiar to a text,
-   so passages or lines that many documents share make no large groups.  Rows that share a key are folded in the scan
-   already (one row a key and slice of the scan, and an edge for each other row), move once, and are read in key order
-   as a stream: each is joined to the key's smallest one (a star), and stars are closed to components.  A document with
-   too few ranges that are not empty emits keys for the empty ones, too.
+   hashes are cut into more ranges than that.  Each document emits the keys (hashes of a range's tokens) of its first
+   E = k + 1 + (k + 1) / 4 ranges that are not empty, for the range counts its partners may use (powers of two by set
+   size); of the shorter of two such lists at most k ranges differ, so linked documents share E - k keys or more.  A
+   document with too few ranges that are not empty emits keys for the empty ones, too.  Keys are read in order as a
+   stream, and a document with fewer than E - k keys that any other has, too, is out: that alone drops most documents
+   which share passages or lines only.  The sets of the others are stored.  Those that share a key are joined to the
+   key's smallest one in a compatible size (a star), and stars are closed to components.
+   Rows that share a key are folded in the scan already, one row a key and slice of the scan.
 2. Links, inside each candidate component.  A task builds a signature tree over its documents: nodes hold the OR and the
    AND of token bitmaps and the range of set sizes.  A dual traversal prunes node pairs by the largest overlap possible:
    a token whose bit is not in the other node's OR bitmap cannot be shared.  Pairs that union-find already has in one
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .arrowio import slices
 from .shared import components, filter_bits, maybe_in, stored
@@ -94,15 +95,24 @@ class Threshold:
         """Tokens in which linked sets of `total` tokens together may differ."""
         return total * (self.den - self.num) // (self.den + self.num)
 
+    def wanted(self, apart: int) -> int:
+        """Keys that are emitted where linked sets may differ in so many tokens."""
+        return apart + 1 + (apart + 1) // 4
+
     def level(self, n: int) -> int:
         """log2 of the number of ranges for pairs whose larger set has n tokens."""
-        need = self.apart(2 * n) + 1
-        return 0 if need == 1 else int(1.1 * need + 1).bit_length()
+        apart = self.apart(2 * n)
+        return 0 if apart == 0 else int(1.1 * self.wanted(apart) + 1).bit_length()
+
+    def least(self, n: Column) -> Column:
+        """Keys that a set of n tokens shares with any partner, at least."""
+        smallest = F.ceil(n * self.num / F.lit(self.den))
+        return F.lit(1) + F.floor((F.floor((n + smallest) * (self.den - self.num) / F.lit(self.den + self.num)) + 1) / 4)
 
     def keys(self, tokens: np.ndarray) -> list[np.ndarray]:
         n, out = len(tokens), []
         largest = n * self.den // self.num
-        need = self.apart(n + largest) + 1  # of so many ranges that are not empty here, one agrees with any partner
+        want = self.wanted(self.apart(n + largest))
         with np.errstate(over="ignore"):
             inner = mixed(tokens * ODD[1])
             for j in range(self.level(n), self.level(largest) + 1):
@@ -110,8 +120,8 @@ class Threshold:
                 starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
                 here = part[starts]
                 keys = mixed(np.add.reduceat(inner, starts) + here * ODD[0] + np.uint64(j) * ODD[2])
-                out.append(keys[:need])
-                if len(keys) < need:  # only empty ranges might agree
+                out.append(keys[:want])
+                if len(keys) < want:  # only empty ranges might agree
                     gaps = np.setdiff1d(np.arange(1 << j, dtype=np.uint64), here)
                     out.append(mixed(gaps * ODD[4] + np.uint64(j) * ODD[3] + ODD[1]))
         return out
@@ -132,15 +142,9 @@ def measured(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, cls bigint, cls2 bigint")
 
 
-def pairs_of(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Distinct pairs (u, v) with u <> v."""
-    pairs = np.stack([u, v], axis=1)[u != v]
-    return np.unique(pairs, axis=0) if len(pairs) else pairs
-
-
 def keyed(rows: DataFrame, words: int, t: Threshold) -> DataFrame:
-    """(key, cls, other): one row per range and document with other null; where documents of one slice share a key, one
-    row for all of them, and an edge (cls, other) for each other one."""
+    """(key, cls, n).  n null: the document has that key.  Where documents of one slice share a key, one row stands for
+    all of them, with n = 0, and rows (cls, cls, n) tell how many keys of cls were settled so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,41 +161,116 @@ def keyed(rows: DataFrame, words: int, t: Threshold) -> DataFrame:
                 k, c = np.concatenate(keys).view(np.int64), np.concatenate(cls)
                 order = np.lexsort((c, k))
                 k, c = k[order], c[order]
+                once = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])  # copies have one vote
+                k, c = k[once], c[once]
                 new = np.concatenate([[True], k[1:] != k[:-1]])
-                edges = pairs_of(c, c[new][np.cumsum(new) - 1])
-                yield pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array(c[new]), pa.nulls(int(new.sum()), pa.int64())], ["key", "cls", "other"])
-                if len(edges):  # dealt by cls, which is as good as random
-                    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["key", "cls", "other"])
+                many = np.diff(np.append(np.flatnonzero(new), len(k))) > 1
+                done, n = np.unique(c[many[np.cumsum(new) - 1]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array(c[new]), pa.array(np.zeros(len(many), np.int64), mask=~many)], ["key", "cls", "n"])
+                if len(done):  # dealt by cls, which is as good as random
+                    yield pa.RecordBatch.from_arrays([pa.array(done), pa.array(done), pa.array(n)], ["key", "cls", "n"])
 
-    return rows.select("text").mapInArrow(run, "key bigint, cls bigint, other bigint")
+    return rows.select("text").mapInArrow(run, "key bigint, cls bigint, n bigint")
 
 
-def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over keyed() rows in the order of keys: edges (u, v), each row with its key's first one.  It holds one
-    batch and one row, however often a key comes."""
-    last, first = None, 0
+def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over keyed() rows in the order of (key, cls): (cls, n), keys of cls that another one has, too.  It holds
+    one batch and one row, however often a key comes."""
+    held = np.zeros((0, 4), np.int64)  # the last row: key, cls, settled, its key has come with another cls
     for batch in batches:
-        is_edge = batch.column("other").is_valid().to_numpy(zero_copy_only=False)
+        n = batch.column("n").fill_null(-1).to_numpy()
         key, cls = batch.column("key").to_numpy(), batch.column("cls").to_numpy()
-        other = batch.column("other").fill_null(0).to_numpy()
-        found = [pairs_of(cls[is_edge], other[is_edge])]
-        key, cls = key[~is_edge], cls[~is_edge]
-        if len(key):
-            new = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])
-            heads = np.concatenate([[first], cls[new]])
-            own = heads[np.cumsum(new)]
-            found.append(pairs_of(cls, own))
-            last, first = int(key[-1]), int(own[-1])
-        pairs = np.concatenate(found)
-        if len(pairs):
-            pairs = pairs_of(pairs[:, 0], pairs[:, 1])
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
-
-
-def candidates(rows: DataFrame, words: int, t: Threshold) -> DataFrame:
-    """(cls, comp): sets that share a key with another set, by component."""
-    keys = keyed(rows, words, t).repartition("key").sortWithinPartitions("key")
-    return components(keys.mapInArrow(starred, "u bigint, v bigint")).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
+        told, rows = n > 0, n <= 0
+        key_rows = np.stack([key[rows], cls[rows], n[rows] == 0, np.zeros(int(rows.sum()), np.int64)], axis=1)
+        key_rows = np.concatenate([held, key_rows])
+        out_cls, out_n = [cls[told]], [n[told]]
+        if len(key_rows):
+            k, c, settled, shared = key_rows.T
+            once = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
+            at = np.cumsum(once) - 1
+            settled = np.bincount(at, settled) > 0
+            k, c, shared = k[once], c[once], shared[once]
+            group = np.cumsum(np.concatenate([[True], k[1:] != k[:-1]])) - 1
+            several = (np.bincount(group) > 1) | (np.bincount(group, shared) > 0)
+            count = several[group] & ~settled
+            out_cls.append(c[count])
+            out_n.append(np.ones(int(count.sum()), np.int64))
+            held = np.array([[k[-1], c[-1], settled[-1] or several[-1], several[-1]]], np.int64)
+        found, where = np.unique(np.concatenate(out_cls), return_inverse=True)
+        if len(found):
+            total = np.bincount(where, np.concatenate(out_n)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total)], ["cls", "n"])
+
+
+def pairs_of(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Distinct pairs (u, v) with u <> v."""
+    pairs = np.stack([u, v], axis=1)[u != v]
+    return np.unique(pairs, axis=0) if len(pairs) else pairs
+
+
+def starred(t: Threshold):
+    """mapInArrow over (key, n, node) in that order: edges (u, v), each row with the first one of its key and size.  Between
+    neighbours whose sizes cannot link a new star begins: nothing links across."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, last_n, first = None, 0, 0
+        for batch in batches:
+            key, n, node = (batch.column(c).to_numpy() for c in ("key", "n", "node"))
+            if not len(key):
+                continue
+            before = np.concatenate([[last_n], n[:-1]])
+            new = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]]) | (t.den * before < t.num * n)
+            own = np.concatenate([[first], node[new]])[np.cumsum(new)]
+            last, last_n, first = int(key[-1]), int(n[-1]), int(own[-1])
+            pairs = pairs_of(node, own)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+    return run
+
+
+def token_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, n, tokens) for wanted (doc_id, cls, cls2); node is the set's representative.  A row that repeats an id and
+    its text gives its set twice, which links nothing new."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                out = []
+                for doc_id, first, second, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "cls", "cls2", "text")), strict=True):
+                    s = shingles(text, words)
+                    if len(s) and set_key(s) == (first, second):  # a row that repeats an id may have another text
+                        out.append((doc_id, len(s), s.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["node", "n", "tokens"])
+
+    near = maybe_in(rows, wanted.select("doc_id"), "doc_id", filter_bits(wanted.count())).join(wanted, "doc_id")
+    return near.select("doc_id", "cls", "cls2", "text").mapInArrow(run, "node bigint, n bigint, tokens binary")
+
+
+def set_keys(sets: DataFrame, t: Threshold) -> DataFrame:
+    """(key, n, node) of stored sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "tokens"):
+                keys = [np.concatenate(t.keys(np.frombuffer(x, np.uint64))) for x in part.column("tokens").to_pylist()]
+                many = [len(k) for k in keys]
+                n, node = (np.repeat(part.column(c).to_numpy(), many) for c in ("n", "node"))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(n), pa.array(node)], ["key", "n", "node"])
+
+    return sets.select("node", "n", "tokens").mapInArrow(run, "key bigint, n bigint, node bigint")
+
+
+def candidates(rows: DataFrame, classes: DataFrame, words: int, t: Threshold) -> tuple[DataFrame, DataFrame]:
+    """Sets (node, n, tokens) that may have a link, and (node, n, comp): components of shared keys among them."""
+    shared = keyed(rows, words, t).repartition("key").sortWithinPartitions("key", "cls").mapInArrow(tallied, "cls bigint, n bigint")
+    shared = shared.groupBy("cls").agg(F.sum("n").alias("shared"))
+    wanted = classes.join(shared, "cls").where(F.col("shared") >= t.least(F.col("n"))).select(F.col("rep").alias("doc_id"), "cls", "cls2")
+    sets = stored(token_sets(rows, stored(wanted, "jaccard-wanted"), words), "jaccard-sets")
+    edges = set_keys(sets, t).repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(starred(t), "u bigint, v bigint")
+    comps = components(edges).select("node", F.col("root").alias("comp"))
+    return sets, sets.select("node", "n").distinct().join(comps, "node")
 
 
 # -- links inside a component
@@ -333,46 +412,20 @@ def solve(rows: DataFrame, t: Threshold) -> DataFrame:
     return rows.select("task", "comp", "node", "label", "side", "keep", "big", "tokens").groupBy("task").applyInArrow(solver(t), SOLVED)
 
 
-def planned(wanted: DataFrame, task_tokens: int = TASK_TOKENS) -> DataFrame:
-    """wanted (doc_id, cls, cls2, comp, n) with `parts` (1: the component fits a task), `block`, `guest` and `bin`.
-    Small components share tasks (bins); large ones are dealt into blocks by hash.  All from counts, before any set is
-    fetched."""
-    sums = stored(wanted.groupBy("comp").agg(F.sum("n").alias("total")), "jaccard-comps")
+def planned(nodes: DataFrame, task_tokens: int = TASK_TOKENS) -> DataFrame:
+    """nodes (node, n, comp) with `parts` (1: the component fits a task), `block`, `blocks` (where it goes: all of them, if
+    it is a guest) and `bin`.  Small components share tasks (bins); large ones are dealt into blocks by hash.  All from
+    counts, before any set moves."""
+    sums = stored(nodes.groupBy("comp").agg(F.sum("n").alias("total")), "jaccard-comps")
     total = sums.agg(F.sum("total")).first()[0] or 0
     bins = max(1, -(-2 * int(total) // task_tokens))
     large = sums.where(F.col("total") > task_tokens).select("comp", F.ceil(F.col("total") / task_tokens).cast("int").alias("parts"), F.lit(task_tokens // GUESTS) / F.col("total"))
     large = large.toDF("comp", "parts", "share")  # at most one row for each task_tokens tokens
-    out = wanted.join(large, "comp", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    guest = F.coalesce(F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30), F.lit(False))
-    out = out.withColumns({"guest": guest, "block": F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("parts")).cast("int"), "bin": F.pmod(F.xxhash64("comp"), F.lit(bins))})
-    return stored(out.drop("share"), "jaccard-planned")
-
-
-def token_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, comp, parts, block, own, bin, tokens) for planned rows; node is the set's representative, and own is false
-    for a guest.  A row that repeats an id and its text gives its set twice, which links nothing new."""
-    names, kinds = ["node", "comp", "parts", "block", "own", "bin", "tokens"], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                out, size = [], 0
-                for r in part.to_pylist():
-                    s = shingles(r["text"], words)
-                    if len(s) and set_key(s) == (r["cls"], r["cls2"]):  # a row that repeats an id may have another text
-                        packed = s.tobytes()
-                        for block in range(r["parts"]) if r["guest"] else (r["block"],):
-                            out.append((r["doc_id"], r["comp"], r["parts"], block, block == r["block"], r["bin"], packed))
-                            size += len(packed)
-                            if size > 1 << 24:
-                                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names)
-                                out, size = [], 0
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names)
-
-    near = maybe_in(rows, wanted.select("doc_id"), "doc_id", filter_bits(wanted.count())).join(wanted, "doc_id")
-    near = near.select("doc_id", "comp", "parts", "block", "guest", "bin", "cls", "cls2", "text")
-    return near.mapInArrow(run, "node bigint, comp bigint, parts int, block int, own boolean, bin bigint, tokens binary")
+    out = nodes.join(large, "comp", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    guest = F.coalesce(F.pmod(F.xxhash64(F.lit(6), "node"), F.lit(1 << 30)) < F.col("share") * (1 << 30), F.lit(False))
+    block = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts")).cast("int")
+    blocks = F.when(guest, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(block))
+    return stored(out.select("node", "comp", "parts", block.alias("block"), blocks.alias("blocks"), F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("bin")), "jaccard-planned")
 
 
 def compared(big: DataFrame, rest: dict[int, tuple[list, list, list]], t: Threshold) -> DataFrame:
@@ -412,14 +465,15 @@ def compared(big: DataFrame, rest: dict[int, tuple[list, list, list]], t: Thresh
     return big.where(F.col("comp").isin(list(rest))).select("u", "comp", "tokens").mapInArrow(run, "u bigint, v bigint")
 
 
-def forest_links(sets: DataFrame, t: Threshold, any_big: bool, task_tokens: int = TASK_TOKENS, rest_tokens: int = REST_TOKENS) -> DataFrame:
-    """Links (u, v) whose components are those of all links, from token_sets()."""
+def forest_links(sets: DataFrame, plan: DataFrame, t: Threshold, task_tokens: int = TASK_TOKENS, rest_tokens: int = REST_TOKENS) -> DataFrame:
+    """Links (u, v) whose components are those of all links, from the sets (node, n, tokens) and planned()."""
     is_big = F.col("parts") > 1
-    task = F.when(is_big, F.xxhash64("comp", "block")).otherwise(F.xxhash64(F.lit(0), "bin"))
-    start = sets.withColumns({"label": F.col("node"), "side": F.lit(0), "big": is_big, "keep": is_big & F.col("own"), "task": task})
+    task = F.when(is_big, F.xxhash64("comp", "goes")).otherwise(F.xxhash64(F.lit(0), "bin"))
+    start = sets.select("node", "tokens").join(plan, "node").withColumn("goes", F.explode("blocks"))
+    start = start.withColumns({"label": F.col("node"), "side": F.lit(0), "big": is_big, "keep": is_big & (F.col("goes") == F.col("block")), "task": task})
     solved = stored(solve(start, t), "jaccard-solved")
     found = solved.where("v is not null").select("u", "v")
-    if not any_big:
+    if plan.where(is_big).isEmpty():
         return found
     big = solved.where("v is null")  # sets move again only where they must
     names = big.select(F.col("u").alias("node"), "comp", (F.octet_length("tokens") / 8).cast("long").alias("n"))
@@ -455,9 +509,8 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = stored(measured(rows, words), "jaccard-base")
     classes = base.where("cls is not null and doc_id is not null").groupBy("cls", "cls2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    comps = candidates(rows, words, t)
-    wanted = planned(classes.join(comps, "cls").select(F.col("rep").alias("doc_id"), "cls", "cls2", "comp", "n"), task_tokens)
-    found = components(forest_links(token_sets(rows, wanted, words), t, not wanted.where("parts > 1").isEmpty(), task_tokens, rest_tokens))
+    sets, nodes = candidates(rows, classes, words, t)
+    found = components(forest_links(sets, planned(nodes, task_tokens), t, task_tokens, rest_tokens))
     named = stored(classes.join(found, classes.rep == found.node, "left").select("cls", "cls2", F.coalesce("root", "rep").alias("component_id")), "jaccard-classes")
     return base.join(named, ["cls", "cls2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
