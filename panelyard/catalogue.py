@@ -140,7 +140,7 @@ def _feature(name: str, digits: int = 8):
     QUERIES[f"f_{name}"] = run
 
 
-for _name, _digits in (("mom_12_1", 8), ("reversal_5d", 8), ("vol_21d", 8), ("volume_shock", 8), ("dollar_vol_20d", 4), ("amihud_20d", 12), ("range_feature", 7), ("pct_off_52w_high", 8)):
+for _name, _digits in (("mom_12_1", 8), ("reversal_5d", 8), ("vol_21d", 8), ("volume_shock", 8), ("dollar_vol_20d", 4), ("amihud_20d", 12), ("range_feature", 7), ("pct_off_52w_high", 8), ("overnight_drift_20d", 8), ("signed_vol_20d", 4), ("low_vol_252d", 8), ("idio_vol_60d", 6)):
     _feature(_name, _digits)
 
 
@@ -230,6 +230,12 @@ def w_sticky(spark, d):
     return ranking.sticky_weights(signalled(spark, d), "signal", 5, 2).select("date", "ticker", r("weight"))
 
 
+@query
+def w_sticky_wide_exit(spark, d):
+    """exit_n = 1: a name stays until the other side's bucket."""
+    return ranking.sticky_weights(signalled(spark, d), "signal", 5, 1).select("date", "ticker", r("weight"))
+
+
 @query
 def w_signal(spark, d):
     return ranking.signal_weights(signalled(spark, d)).select("date", "ticker", r("weight", 7))
@@ -314,8 +320,7 @@ def r_turnover(spark, d):
 
 @query
 def r_metrics(spark, d):
-    w = weighted(spark, d)
-    return risk.all_metrics(w, accounting.returns(w)).select("metric", r("value", 7))
+    return risk.all_metrics(weighted(spark, d), cost_bps=5.0).select("metric", r("value", 7))
 
 
 HARD = [("gross", "gross_exposure", "<=", 1.5), ("net", "net_exposure", "<=", 0.1), ("turnover", "avg_turnover", "<", 0.1), ("drawdown", "max_drawdown", ">=", -0.5), ("breadth", "min_n_long", ">", 2.0), ("unmeasured", "ic_ir", ">=", 1.0)]
@@ -517,10 +522,15 @@ def o_verdict(spark, d):
 def pipeline_full(spark, d):
     """Combine, masks, smoothing, neutralisation, sticky buckets, accounting, all metrics: one row."""
     panel = grid(spark, d)
-    signal = backtest.make_signal(panel, CONFIG, membership_pit(spark, d)).withColumns({"signal": F.round("signal", 7), "fwd": F.round("fwd", 9)})
+    signal = _settled(backtest.make_signal(panel, CONFIG, membership_pit(spark, d))).persist()  # weights and IC read it
     return _rounded(backtest.report(backtest.run(panel, CONFIG, signal=signal)))
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """Rounded, so that ranks do not hang on the last bit."""
+    return df.withColumns({"signal": F.round("signal", 7), "fwd": F.round("fwd", 9)})
+
+
 def _cells(spark, d):
     panel = grid(spark, d)
     base = replace(CONFIG, halflife=0.0)
@@ -531,14 +541,14 @@ def _cells(spark, d):
 def compare_variants(spark, d):
     panel, base = _cells(spark, d)
     kinds = {"decile": replace(base, weighting="decile"), "sticky": base, "signal": replace(base, weighting="signal_weighted")}
-    out = backtest.compare(panel, kinds)
+    out = backtest.compare(panel, kinds, prepare=_settled)
     return out.select("variant", "n_obs", "ic_n", r("ic_ir", 4), r("ann_return", 4), r("avg_turnover", 4))
 
 
 @query
 def grid_pivot(spark, d):
     panel, base = _cells(spark, d)
-    cells = backtest.grid(panel, base, [0.0, 3.0], [None, 2])
+    cells = backtest.grid(panel, base, [0.0, 3.0], [None, 2], prepare=_settled)
     return backtest.grid_table(cells.withColumn("avg_turnover", F.round("avg_turnover", 4)), "avg_turnover")
 
 

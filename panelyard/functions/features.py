@@ -29,9 +29,10 @@ def pct_change(x: Column, k: int = 1, fill: str = "pad") -> Column:
     return ratio(x, F.lag(x, k).over(by_time())) - 1
 
 
-def rolling(aggregate: Callable[[Column], Column], x: Column, n: int) -> Column:
+def rolling(aggregate: Callable[[Column], Column], x: Column, n: int, least: int | None = None) -> Column:
+    """Over the last n rows, if at least `least` (all of them) have a value."""
     frame = by_time().rowsBetween(-(n - 1), 0)
-    return F.when(F.count(x).over(frame) == n, aggregate(x).over(frame))
+    return F.when(F.count(x).over(frame) >= (least or n), aggregate(x).over(frame))
 
 
 @dataclass(frozen=True)
@@ -79,6 +80,31 @@ def below_high(p: Lags) -> Column:
     return ratio(F.col("adj_close"), rolling(F.max, F.col("adj_close"), p.year)) - 1
 
 
+def overnight_drift(p: Lags) -> Column:
+    """Mean return from one close to the next open."""
+    return rolling(F.avg, ratio(F.col("open"), F.lag("close").over(by_time())) - 1, p.mean)
+
+
+def signed_volume(p: Lags) -> Column:
+    """Volume with the sign of its row's return."""
+    return rolling(F.sum, F.signum("_ret") * F.col("volume"), p.mean)
+
+
+def low_volatility(p: Lags) -> Column:
+    return -rolling(F.stddev_samp, F.col("_ret"), p.year)
+
+
+def idiosyncratic_volatility(p: Lags) -> Column:
+    """Minus the deviation that is left beside the market (the mean return of the date): var (1 - corr^2) of 60 rows, 40
+    with a return at least; a constant market explains nothing."""
+    x, m = F.col("_ret"), F.when(F.col("_ret").isNotNull(), F.col("_market"))
+    frame = by_time().rowsBetween(-59, 0)
+    moved = (F.stddev_pop(x).over(frame) > 0) & (F.stddev_pop(m).over(frame) > 0)
+    explained = F.when(moved, F.pow(F.corr(x, m).over(frame), F.lit(2.0))).otherwise(0.0)
+    left = rolling(F.var_samp, x, 60, 40) * (1 - explained)
+    return -F.sqrt(F.when(left > 0, left).otherwise(left * 0))
+
+
 FEATURES: dict[str, Callable[[Lags], Column]] = {
     "mom_12_1": momentum,
     "reversal_5d": reversal,
@@ -88,7 +114,12 @@ FEATURES: dict[str, Callable[[Lags], Column]] = {
     "amihud_20d": illiquidity,
     "range_feature": day_range,
     "pct_off_52w_high": below_high,
+    "overnight_drift_20d": overnight_drift,
+    "signed_vol_20d": signed_volume,
+    "low_vol_252d": low_volatility,
+    "idio_vol_60d": idiosyncratic_volatility,
 }
+MARKET = {"idio_vol_60d"}  # need the date's mean return, which is one more exchange
 
 
 def compute(panel: DataFrame, names: list[str], lags: Lags = Lags(), registry=None) -> DataFrame:
@@ -97,5 +128,7 @@ def compute(panel: DataFrame, names: list[str], lags: Lags = Lags(), registry=No
     if unknown := [n for n in names if n not in registry]:
         raise KeyError(f"unknown features {unknown}; known: {sorted(registry)}")
     out = panel.withColumn("_ret", pct_change(F.col("adj_close")))
+    if MARKET & set(names):
+        out = out.withColumn("_market", F.avg("_ret").over(Window.partitionBy("date")))
     out = out.withColumns({n: registry[n](lags) for n in dict.fromkeys(names)})
-    return out.withColumn("fwd", F.lead("_ret").over(by_time())).drop("_ret")
+    return out.withColumn("fwd", F.lead("_ret").over(by_time())).drop("_ret", "_market")

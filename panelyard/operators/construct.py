@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 EVERY, LOOKBACK = 21, 252
+# Fixed values, which decide the numbers: ridge, step, floor, tolerances and rounds of the constructors below.
+RIDGE, STEP, LEAST_SHARE, SETTLED = 1e-8, 0.1, 1e-6, 1e-6
+CLIP_ROUNDS, CLIP_SETTLED, SECTOR_ROUNDS, SECTOR_SLACK = 15, 1e-10, 10, 1e-9
 
 
 def shrunk_covariance(returns: DataFrame, shrinkage: float = 0.5, lookback: int = LOOKBACK) -> DataFrame:
@@ -19,9 +24,13 @@ def shrunk_covariance(returns: DataFrame, shrinkage: float = 0.5, lookback: int
 
 
 def _trailing(df: DataFrame, lookback: int) -> DataFrame:
-    """Rows (rebalance, t_idx, ticker, ret, signal): every rebalance date with its trailing window."""
+    """Rows (rebalance, t_idx, ticker, ret, signal): every rebalance date with its trailing window.  A row names the dates it
+    counts for, and they are joined by number."""
     dates = df.select("t_idx").distinct().where(F.col("t_idx") % EVERY == 0).select(F.col("t_idx").alias("rebalance"))
-    return df.select("t_idx", "ticker", "ret", "signal").join(F.broadcast(dates), (F.col("t_idx") <= F.col("rebalance")) & (F.col("t_idx") > F.col("rebalance") - lookback))
+    t = F.col("t_idx")
+    first = F.ceil(t / EVERY) * EVERY
+    ahead = F.when(first < t + lookback, F.sequence(first, t + lookback - 1, F.lit(EVERY).cast("long")))
+    return df.select("t_idx", "ticker", "ret", "signal", F.explode(ahead).alias("rebalance")).join(F.broadcast(dates), "rebalance")
 
 
 def _held(df: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -46,7 +55,7 @@ def mean_variance(df: DataFrame, target_te: float = 0.1, shrinkage: float = 0.5,
         cov = r.cov().fillna(0.0).to_numpy()
         diagonal = np.diag(np.diag(cov))
         cov = shrinkage * diagonal + (1 - shrinkage) * cov
-        w = np.linalg.pinv(cov + 1e-8 * np.eye(len(mu))) @ mu.to_numpy()
+        w = np.linalg.pinv(cov + RIDGE * np.eye(len(mu))) @ mu.to_numpy()
         w = np.clip(w, 0, None) if long_only else w
         te = float(np.sqrt(max(w @ cov @ w, 1e-12) * 252))
         return pd.DataFrame({"rebalance": day, "ticker": mu.index, "weight": w * target_te / te})
@@ -68,9 +77,9 @@ def risk_parity(df: DataFrame, lookback: int = LOOKBACK, steps: int = 200) -> Da
         for _ in range(steps):
             marginal = cov @ w
             share = w * marginal
-            new = np.clip(w - 0.1 * (share - share.mean()) / (marginal + 1e-12), 1e-6, None)
+            new = np.clip(w - STEP * (share - share.mean()) / (marginal + 1e-12), LEAST_SHARE, None)
             w, moved = new / new.sum(), np.abs(new / new.sum() - w).max()
-            if moved < 1e-6:
+            if moved < SETTLED:
                 break
         return pd.DataFrame({"rebalance": int(pdf["rebalance"].iloc[0]), "ticker": r.columns, "weight": w})
 
@@ -91,20 +100,20 @@ def capped_weights(signal: np.ndarray, sectors: np.ndarray, name_cap: float, sec
         return w
     s = s * gross / np.abs(s).sum()
     low = 0.0 if long_only else -name_cap
-    for _ in range(15):
+    for _ in range(CLIP_ROUNDS):
         clipped = center(np.clip(s, low, name_cap))
-        s, done = clipped, np.allclose(s, clipped, atol=1e-10)
+        s, done = clipped, np.allclose(s, clipped, atol=CLIP_SETTLED)
         if done:
             break
     s = np.clip(center(np.clip(s, low, name_cap)), low, name_cap)
     if np.abs(s).sum() > gross:
         s = s * gross / np.abs(s).sum()
     kinds = sectors[have]
-    for _ in range(10):
+    for _ in range(SECTOR_ROUNDS):
         over = False
         for k in np.unique(kinds):
             total = np.abs(s[kinds == k]).sum()
-            if total > sector_cap + 1e-9:
+            if total > sector_cap + SECTOR_SLACK:
                 s[kinds == k] *= sector_cap / total
                 over = True
         if not over:
@@ -119,7 +128,8 @@ def constrained(df: DataFrame, name_cap: float = 0.05, sector_cap: float = 0.30,
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ticker_ord")
-        w = capped_weights(pdf["signal"].to_numpy(dtype=float), pdf["sector"].fillna("UNKNOWN").to_numpy(), name_cap, sector_cap, gross, long_only)
+        cap = math.inf if pdf["sector"].isna().all() else sector_cap  # without sectors there is nothing to cap
+        w = capped_weights(pdf["signal"].to_numpy(dtype=float), pdf["sector"].fillna("UNKNOWN").to_numpy(), name_cap, cap, gross, long_only)
         return pd.DataFrame({"date": pdf["date"], "ticker": pdf["ticker"], "weight": w})
 
     got = df.select("date", "ticker", "ticker_ord", "sector", "signal").groupBy("date").applyInPandas(run, "date date, ticker string, weight double")

@@ -45,14 +45,19 @@ def decile_weights(df: DataFrame, column: str = "signal", n: int = 10) -> DataFr
 
 def sticky_weights(df: DataFrame, column: str = "signal", n: int = 10, exit_n: int | None = None) -> DataFrame:
     """Hysteresis: a name enters in the top bucket of n and stays while in the top bucket of exit_n; shorts mirror it.
-    A NULL clears the state.  A name is long exactly if its last entry is later than its last exit."""
+    A NULL clears the state.  A name is long exactly if its last entry is later than its last exit.  With exit_n = 1 there
+    is no exit but the other side's entry, which wins; with n = 1 every name is on both sides, which leaves nothing."""
     exit_n = exit_n or max(1, n // 2)
     if exit_n > n:
         raise ValueError("exit_n must not exceed n")
-    if exit_n < 2:
-        raise ValueError("exit_n of 1 keeps every name on both sides; choose at least 2")
     df = deciles(deciles(df, column, n, "_e"), column, exit_n, "_h")
     past = Window.partitionBy("ticker").orderBy("t_idx").rowsBetween(Window.unboundedPreceding, 0)
+    if n == 1:
+        return df.withColumn("weight", F.lit(0.0)).drop("_e", "_h")
+    if exit_n == 1:
+        event = F.when(F.col("_h").isNull(), 0).when(F.col("_e") == n - 1, 1).when(F.col("_e") == 0, -1)
+        df = df.withColumn("_side", F.last(event, ignorenulls=True).over(past))
+        return _equal(df, F.col("_side") == 1, F.col("_side") == -1).drop("_e", "_h", "_side")
 
     def held(enter: Column, stay: Column) -> Column:
         enter, stay = F.coalesce(enter, F.lit(False)), F.coalesce(stay, F.lit(False))

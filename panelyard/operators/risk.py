@@ -32,15 +32,53 @@ def average_turnover(w: DataFrame) -> DataFrame:
     return w.withColumn("_m", move).groupBy("date").agg((F.coalesce(F.sum("_m"), F.lit(0.0)) / 2).alias("t")).agg(F.avg("t").alias("avg_turnover"))
 
 
-def all_metrics(w: DataFrame, daily: DataFrame | None = None, column: str = "net") -> DataFrame:
-    """(metric, value): worst case over time for caps, least breadth, mean turnover, drawdown with gaps as 0."""
-    e = exposures(w).agg(F.max("gross").alias("gross_exposure"), F.max("net").alias("net_exposure"), F.max("max_name").alias("max_single_name_weight"), F.min("n_long").cast("double").alias("min_n_long"), F.min("n_short").cast("double").alias("min_n_short"))
-    one = e.join(sector_exposure(w).agg(F.max("exposure").alias("max_sector_weight"))).join(average_turnover(w))
+def by_date(w: DataFrame, cost_bps: float | None = None) -> DataFrame:
+    """Per date, in one pass over the weights: what exposures(), sector_exposure() and average_turnover() hold, and with
+    cost_bps also the returns (gross, turnover, cost, net) of accounting.returns()."""
+    x = F.col("weight")
+    before = F.lag("weight").over(Window.partitionBy("ticker").orderBy("t_idx"))
+    money = "fwd" in w.columns and cost_bps is not None
+    w = w.withColumns({"_m": F.abs(x - before), "_t": F.abs(x - F.coalesce(before, F.lit(0.0)))})
+    part = w.groupBy("date", F.coalesce("sector", F.lit("UNKNOWN")).alias("sector")).agg(
+        F.sum(F.abs(x)).alias("exposure"), F.sum(x).alias("sum"), F.max(F.abs(x)).alias("max_name"), F.sum((x > 0).cast("long")).alias("n_long"), F.sum((x < 0).cast("long")).alias("n_short"),
+        F.sum("_m").alias("moved"), *([F.sum(x * F.col("fwd")).alias("gross"), F.sum("_t").alias("traded")] if money else []),
+    )
+    day = part.groupBy("date").agg(
+        F.sum("exposure").alias("gross_exposure"), F.abs(F.sum("sum")).alias("net_exposure"), F.max("max_name").alias("max_name"), F.max("exposure").alias("max_sector"), F.sum("n_long").alias("n_long"),
+        F.sum("n_short").alias("n_short"), (F.coalesce(F.sum("moved"), F.lit(0.0)) / 2).alias("moved"), *([F.coalesce(F.sum("gross"), F.lit(0.0)).alias("gross"), (F.sum("traded") / 2).alias("turnover")] if money else []),
+    )
+    return day.withColumn("cost", F.col("turnover") * cost_bps / 1e4).withColumn("net", F.col("gross") - F.col("cost")) if money else day
+
+
+def all_metrics(w: DataFrame, daily: DataFrame | None = None, column: str = "net", cost_bps: float | None = None) -> DataFrame:
+    """(metric, value): worst case over time for caps, least breadth, mean turnover, drawdown with gaps as 0.  The drawdown is
+    that of `daily`, or with cost_bps of the weights' own net returns, which takes no second pass."""
+    day = by_date(w, cost_bps)
+    if cost_bps is not None and daily is None:
+        path = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # a series of dates
+        day = day.withColumn("_e", F.product(1 + F.coalesce(column, F.lit(0.0))).over(path))
+        day = day.withColumn("_d", F.col("_e") / F.max("_e").over(path) - 1)
+    one = day.agg(
+        F.max("gross_exposure").alias("gross_exposure"), F.max("net_exposure").alias("net_exposure"), F.max("max_name").alias("max_single_name_weight"), F.min("n_long").cast("double").alias("min_n_long"),
+        F.min("n_short").cast("double").alias("min_n_short"), F.max("max_sector").alias("max_sector_weight"), F.avg("moved").alias("avg_turnover"), *([F.min("_d").alias("max_drawdown")] if "_d" in day.columns else []),
+    )
     if daily is not None:
         one = one.join(equity(daily, column, missing_as_zero=True).agg(F.min("drawdown").alias("max_drawdown")))
     return one.unpivot([], [c for c in one.columns], "metric", "value")
 
 
+def report(metrics: DataFrame, hard: DataFrame, soft: DataFrame) -> dict:
+    """Metrics, broken hard constraints, soft scores, and whether all hard ones hold; a few rows each."""
+    metrics = metrics.persist()
+    out = {
+        "metrics": {r["metric"]: r["value"] for r in metrics.collect()},
+        "hard_violations": [r.asDict() for r in violations(metrics, hard).collect()],
+        "soft_scores": {r["name"]: r["score"] for r in soft_scores(metrics, soft).collect()},
+    }
+    metrics.unpersist()
+    return {**out, "passes_policy": not out["hard_violations"]}
+
+
 def constraints(spark, rows: list[tuple[str, str, str, float]]) -> DataFrame:
     return spark.createDataFrame(rows, "name string, metric string, op string, threshold double")
 
@@ -97,10 +135,15 @@ def feature_stats(df: DataFrame, name: str) -> DataFrame:
     return base.join(auto.agg(F.avg("c").alias("autocorr_mean"), F.median("c").alias("autocorr_median")))
 
 
+def net_returns(w: DataFrame, costs: DataFrame) -> DataFrame:
+    """(date, gross, cost, net) of weights with their own costs."""
+    daily = w.groupBy("date").agg(F.coalesce(F.sum(F.col("weight") * F.col("fwd")), F.lit(0.0)).alias("gross")).join(costs, "date", "left")
+    return daily.withColumn("net", F.col("gross") - F.coalesce("cost", F.lit(0.0)))
+
+
 def candidate(w: DataFrame, costs: DataFrame) -> DataFrame:
     """One row for candidate weights: gross, net, cost drag, and Sharpe ratios with a floor under the deviation."""
-    daily = w.groupBy("date").agg(F.coalesce(F.sum(F.col("weight") * F.col("fwd")), F.lit(0.0)).alias("gross")).join(costs, "date", "left")
-    daily = daily.withColumn("net", F.col("gross") - F.coalesce("cost", F.lit(0.0)))
+    daily = net_returns(w, costs)
     ratio = lambda c: F.avg(c) * math.sqrt(YEAR) / F.greatest(F.stddev_pop(c), F.lit(1e-9))
     return daily.agg(ratio("gross").alias("gross_sharpe"), ratio("net").alias("net_sharpe"), ((F.avg("gross") - F.avg("net")) * YEAR).alias("cost_drag"))
 

@@ -23,9 +23,11 @@ feat AS (SELECT *, lag(close, 21) OVER w / nullif(lag(close, 252) OVER w, 0) - 1
   CASE WHEN count(close * volume) OVER w20 = 20 THEN avg(close * volume) OVER w20 END AS dollar_vol_20d,
   CASE WHEN count(abs(ret) / nullif(close * volume, 0)) OVER w20 = 20 THEN avg(abs(ret) / nullif(close * volume, 0)) OVER w20 END AS amihud_20d,
   CASE WHEN count((high - low) / nullif(close, 0)) OVER w10 = 10 THEN -avg((high - low) / nullif(close, 0)) OVER w10 END AS range_feature,
-  CASE WHEN count(close) OVER w252 = 252 THEN close / nullif(max(close) OVER w252, 0) - 1 END AS pct_off_52w_high, lead(ret) OVER w AS fwd
-  FROM changed WINDOW w AS (PARTITION BY ticker ORDER BY t_idx), w10 AS (PARTITION BY ticker ORDER BY t_idx ROWS 9 PRECEDING), w20 AS (PARTITION BY ticker ORDER BY t_idx ROWS 19 PRECEDING),
-  w21 AS (PARTITION BY ticker ORDER BY t_idx ROWS 20 PRECEDING), w252 AS (PARTITION BY ticker ORDER BY t_idx ROWS 251 PRECEDING))"""
+  CASE WHEN count(close) OVER w252 = 252 THEN close / nullif(max(close) OVER w252, 0) - 1 END AS pct_off_52w_high, lead(ret) OVER w AS fwd,
+  CASE WHEN count(night) OVER w20 = 20 THEN avg(night) OVER w20 END AS overnight_drift_20d, CASE WHEN count(sign(ret) * volume) OVER w20 = 20 THEN sum(sign(ret) * volume) OVER w20 END AS signed_vol_20d,
+  CASE WHEN count(ret) OVER w252 = 252 THEN -stddev_samp(ret) OVER w252 END AS low_vol_252d, CASE WHEN count(ret) OVER w60 >= 40 THEN -sqrt(greatest(var_samp(ret) OVER w60 * (1 - CASE WHEN stddev_pop(ret) OVER w60 > 0 AND stddev_pop(mkt) OVER w60 > 0 THEN pow(corr(ret, mkt) OVER w60, 2) ELSE 0 END), 0)) END AS idio_vol_60d
+  FROM (SELECT *, CASE WHEN ret IS NOT NULL THEN avg(ret) OVER (PARTITION BY date) END AS mkt, open / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY t_idx), 0) - 1 AS night FROM changed) WINDOW w AS (PARTITION BY ticker ORDER BY t_idx), w10 AS (PARTITION BY ticker ORDER BY t_idx ROWS 9 PRECEDING), w20 AS (PARTITION BY ticker ORDER BY t_idx ROWS 19 PRECEDING),
+  w21 AS (PARTITION BY ticker ORDER BY t_idx ROWS 20 PRECEDING), w60 AS (PARTITION BY ticker ORDER BY t_idx ROWS 59 PRECEDING), w252 AS (PARTITION BY ticker ORDER BY t_idx ROWS 251 PRECEDING))"""
 
 
 def _z(names: dict[str, float]) -> str:
@@ -149,6 +151,34 @@ def W(steps: str, final: str) -> str:
     return f"WITH {steps} {final}"
 
 
+HARD_WTS = ", ".join([_deciles("sig", "signal", 5, "bucket", "dec"), _equal("dec", "bucket = 4", "bucket = 0")])
+SIGNAL_WTS = "wts AS (SELECT *, coalesce(c / nullif(sum(abs(c)) OVER (PARTITION BY date), 0) * 2.0, 0)::DOUBLE AS weight FROM (SELECT *, signal - avg(signal) OVER (PARTITION BY date) AS c FROM sig))"
+
+
+def _neutral_signal(halflife: float) -> str:
+    """Steps to sig: liquid, smoothed, neutral and rounded."""
+    liq = "liq AS (SELECT * EXCLUDE (signal), CASE WHEN dollar_vol_20d >= 150000 THEN signal END AS signal FROM comb)"
+    smooth = [_ewma("liq", halflife, "smo")] if halflife else ["smo AS (SELECT * FROM liq)"]
+    return ", ".join([PANEL, FEATURES, COMBINE, liq, *smooth, _neutral("smo", "signal", "sector", "neu"), "sig AS (SELECT * EXCLUDE (signal, fwd), round(resid, 7) AS signal, round(fwd, 9) AS fwd FROM neu)"])
+
+
+def _variants() -> str:
+    each = []
+    for name, steps in (("decile", HARD_WTS), ("sticky", _sticky("sig", "signal")), ("signal", SIGNAL_WTS)):
+        numbers = f"count(net) AS n_obs, {_r('avg(net) * 252', 4, 'ann_return')}, {_r('avg(turnover)', 4, 'avg_turnover')}"
+        ics = f"count(ic) AS ic_n, {_r('avg(ic) * sqrt(252) / nullif(stddev_pop(ic), 0)', 4, 'ic_ir')}"
+        each.append(f"SELECT * FROM ({W(', '.join([_neutral_signal(0), steps, DAILY, _ic('sig')]), f'SELECT {name!r} AS variant, * FROM (SELECT {numbers} FROM daily), (SELECT {ics} FROM ics)')})")
+    return " UNION ALL ".join(each)
+
+
+def _cells() -> str:
+    each = []
+    for halflife in (0.0, 3.0):
+        cells = [f'(SELECT * FROM ({W(", ".join([_neutral_signal(halflife), steps, DAILY]), "SELECT round(avg(turnover), 4) FROM daily")})) AS "{exit_}"' for exit_, steps in (("2", _sticky("sig", "signal")), ("off", HARD_WTS))]
+        each.append(f"SELECT {halflife}::DOUBLE AS halflife, {', '.join(cells)}")
+    return " UNION ALL ".join(each)
+
+
 SQL: dict[str, str] = {
     "panel_dense": W(PANEL, f"SELECT date, t_idx, ticker, ticker_ord, sector, {', '.join(_r(c, 6) for c in ('open', 'high', 'low', 'close'))}, volume FROM panel"),
     "panel_dense_raw": W(_bars("s_name") + ", " + GRID, f"SELECT date, t_idx, ticker, ticker_ord, sector, {_r('close', 6)}, volume FROM raw"),
@@ -163,7 +193,7 @@ SQL: dict[str, str] = {
     "mask_liquidity": W(FEAT, f"SELECT date, ticker, {_r('CASE WHEN dollar_vol_20d >= 150000 THEN reversal_5d END', 8, 'signal')} FROM feat"),
     "mask_membership": W(FEAT + ", " + MEMBERS, f"SELECT f.date, f.ticker, {_r('CASE WHEN coalesce(m.member, false) THEN f.reversal_5d END', 8, 'signal')} FROM feat f LEFT JOIN members m ON m.date = f.date AND m.ticker = f.ticker"),
     "calendar_business_days": "SELECT d::DATE AS date FROM range(TIMESTAMP '1995-01-01', TIMESTAMP '2002-01-01', INTERVAL 1 DAY) t(d) WHERE isodow(d) <= 5",
-    **{f"f_{n}": W(FEAT, f"SELECT date, ticker, {_r(n, k)} FROM feat") for n, k in (("mom_12_1", 8), ("reversal_5d", 8), ("vol_21d", 8), ("volume_shock", 8), ("dollar_vol_20d", 4), ("amihud_20d", 12), ("range_feature", 7), ("pct_off_52w_high", 8))},
+    **{f"f_{n}": W(FEAT, f"SELECT date, ticker, {_r(n, k)} FROM feat") for n, k in (("mom_12_1", 8), ("reversal_5d", 8), ("vol_21d", 8), ("volume_shock", 8), ("dollar_vol_20d", 4), ("amihud_20d", 12), ("range_feature", 7), ("pct_off_52w_high", 8), ("overnight_drift_20d", 8), ("signed_vol_20d", 4), ("low_vol_252d", 8), ("idio_vol_60d", 6))},
     "f_forward_return": W(FEAT, f"SELECT date, ticker, {_r('fwd')} FROM feat"),
     "f_gaps_padded": W(", ".join([_bars("s_name"), GRID, RAWFEAT]), f"SELECT date, ticker, {_r('reversal_5d')}, {_r('vol_21d', 6)}, {_r('mom_12_1')}, {_r('fwd')} FROM pf"),
     "f_user_defined": W(PANEL, "SELECT date, ticker, round(CASE WHEN count(x) OVER w = 5 THEN avg(x) OVER w END, 8) + 0.0::DOUBLE AS drift FROM (SELECT *, close / open - 1 AS x FROM panel) WINDOW w AS (PARTITION BY ticker ORDER BY t_idx ROWS 4 PRECEDING)"),
@@ -182,6 +212,8 @@ SQL: dict[str, str] = {
         f"SELECT date, ticker, CASE WHEN x IS NOT NULL AND _n > 1 THEN greatest({_edges(10)}, 1) - 1 END::INTEGER AS bucket FROM y"),
     "w_decile": W(WTS, f"SELECT date, ticker, {_r('weight')} FROM wts"),
     "w_sticky": W(SIG + ", " + _sticky("sig", "signal"), f"SELECT date, ticker, {_r('weight')} FROM wts"),
+    "w_sticky_wide_exit": W(SIG + ", " + _deciles("sig", "signal", 5, "e5", "d5") + """, side AS (SELECT *, last_value(CASE WHEN e5 IS NULL THEN 0 WHEN e5 = 4 THEN 1 WHEN e5 = 0 THEN -1 END IGNORE NULLS)
+  OVER (PARTITION BY ticker ORDER BY t_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM d5), """ + _equal("side", "s = 1", "s = -1"), f"SELECT date, ticker, {_r('weight')} FROM wts"),
     "w_signal": W(SIG, f"SELECT date, ticker, {_r('coalesce(c / nullif(sum(abs(c)) OVER (PARTITION BY date), 0) * 2.0, 0)', 7, 'weight')} FROM (SELECT *, signal - avg(signal) OVER (PARTITION BY date) AS c FROM sig)"),
     "per_decile": W(", ".join([SIG, _deciles("sig", "signal", 5, "bucket", "dec"), PERDEC]), f"SELECT date, decile, {_r('ret')} FROM pd"),
     "bt_returns": W(WTS + ", " + DAILY, f"SELECT date, {_r('gross')}, {_r('turnover')}, {_r('cost', 10)}, {_r('net')} FROM daily"),
@@ -232,5 +264,7 @@ SELECT pair, CASE WHEN k > len(o) THEN 'added' WHEN k > len(n) THEN 'removed' WH
     "o_promotion": "SELECT event_id, CASE WHEN event_id % 500 < 252 THEN 'INSUFFICIENT' WHEN value / 100 <= 0.6::DOUBLE / sqrt(greatest(user_id % 30, 1)) THEN 'NO_IMPROVEMENT' WHEN (event_id % 97) / 97.0::DOUBLE > 0.5 THEN 'IPS_VIOLATION' ELSE 'PROMOTED' END AS decision FROM events",
     "o_verdict": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'APPROVED' WHEN 1 THEN 'AUDIT_REQUIRED' WHEN 2 THEN 'VETOED' WHEN 3 THEN 'AUDIT_REQUIRED' ELSE 'DRY_RUN' END AS verdict FROM events",
     "pipeline_full": W(", ".join([FULL, _sticky("sig", "signal"), DAILY, EQUITY, _ic("sig")]), f"SELECT * FROM ({SUMMARY} FROM daily), (SELECT {ICS} FROM ics), (SELECT {GROSS} FROM daily)"),
+    "compare_variants": _variants(),
+    "grid_pivot": _cells(),
     "stream_bars": "SELECT date_trunc('day', ts)::DATE AS date, user_id::VARCHAR AS ticker, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2",
 }

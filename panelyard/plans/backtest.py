@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import cross, features
 from ..functions.features import Lags
 from ..operators import accounting, ranking, universe
+from ..sources import files as bars_source, panel as src
+from ..sources.layout import save_run
 
 
 @dataclass(frozen=True)
@@ -78,27 +82,66 @@ def report(result: Result) -> DataFrame:
     return accounting.summary(result.returns, gross=True).join(accounting.ic_summary(result.ic))
 
 
-def compare(panel: DataFrame, variants: dict[str, Config], members: DataFrame | None = None) -> DataFrame:
-    """One row per variant; variants that share a signal share its frame."""
-    out, signals = None, {}
+def compare(panel: DataFrame, variants: dict[str, Config], members: DataFrame | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One row per variant.  Variants that share a signal share its frame, which is computed once and kept while their rows
+    are made; a row is made in one job.  prepare: what a signal's frame goes through before it is ranked."""
+    by_signal: dict[tuple, list[tuple[str, Config]]] = {}
     for name, config in variants.items():
         key = (tuple(sorted(config.features.items())), config.min_dollar_vol, config.sector, config.size, config.halflife, config.remask, config.lags)
-        if key not in signals:
-            signals[key] = make_signal(panel, config, members)
-        row = report(run(panel, config, members, signals[key])).withColumn("variant", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def grid(panel: DataFrame, base: Config, halflives: list[float], exits: list[int | None], members: DataFrame | None = None) -> DataFrame:
+        by_signal.setdefault(key, []).append((name, config))
+    rows, schema = {}, None
+    for group in by_signal.values():
+        signal = make_signal(panel, group[0][1], members)
+        signal = (prepare(signal) if prepare else signal).persist()
+        ic = accounting.ic_summary(accounting.information_coefficient(signal)).persist()  # no weights in it
+        for name, config in group:
+            weights = ranking.weigh(signal, config.weighting, config.n_deciles, config.exit_n_deciles)
+            one = accounting.summary(accounting.returns(weights, config.cost_bps), gross=True).join(ic).withColumn("variant", F.lit(name))
+            rows[name], schema = one.first(), one.schema
+        ic.unpersist()
+        signal.unpersist()
+    return panel.sparkSession.createDataFrame([rows[name] for name in variants], schema)
+
+
+def grid(panel: DataFrame, base: Config, halflives: list[float], exits: list[int | None], members: DataFrame | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row per (halflife, exit) cell; exit None is the plain decile scheme, shown as 'off'."""
     cells = {}
     for h in halflives:
         for e in exits:
             cells[f"{h}|{e or 'off'}"] = replace(base, halflife=h, weighting="decile_sticky" if e else "decile", exit_n_deciles=e)
-    got = compare(panel, cells, members)
+    got = compare(panel, cells, members, prepare)
     return got.withColumns({"halflife": F.split_part("variant", F.lit("|"), F.lit(1)).cast("double"), "exit": F.split_part("variant", F.lit("|"), F.lit(2))}).drop("variant")
 
 
+GRID_METRICS = ("sharpe", "gross_sharpe", "avg_turnover", "max_drawdown", "ic_ir")
+
+
 def grid_table(cells: DataFrame, metric: str) -> DataFrame:
     return cells.groupBy("halflife").pivot("exit").agg(F.first(metric))
+
+
+def grid_tables(cells: DataFrame) -> dict[str, DataFrame]:
+    """One halflife x exit table per metric."""
+    return {m: grid_table(cells, m) for m in GRID_METRICS}
+
+
+def run_from_files(spark, config_path: str, layout, limit: int | None = None, source=None, save: bool = True) -> tuple[Result, dict, str | None]:
+    """A run from a YAML file to its sinks: universe, bars (refreshed from `source` if one is given), membership, signal,
+    weights, numbers, files.  Returns the result, its summary and the folder."""
+    import yaml
+
+    with open(config_path) as f:
+        raw = yaml.safe_load(f)
+    start, end = str(raw["start"]), str(raw.get("end", "today"))
+    universe_ = bars_source.load_universe(spark, layout)
+    bars = bars_source.load_bars(spark, layout, start, end, limit=limit, source=source)
+    panel = src.dense(bars.drop("sector").join(universe_.select("ticker", "sector"), "ticker", "left")).persist()
+    members = bars_source.load_membership(spark, layout, panel.select("date")) if raw.get("membership", {}).get("point_in_time") else None
+    config = Config.from_dict(raw)
+    signal = make_signal(panel, config, members).persist()
+    result = run(panel, config, members, signal)
+    summary = {**report(result).first().asDict(), "weighting": config.weighting}
+    if members is not None:
+        summary["avg_members"] = universe.average_members(members).first()[0]
+    folder = save_run(layout, f"sample_run_{datetime.now(timezone.utc):%Y%m%d_%H%M%S}", result, summary) if save else None
+    return result, summary, folder

@@ -27,6 +27,7 @@ class Version:
     promoted: bool = False
     rolled_back: bool = False
     metrics: dict = field(default_factory=dict)
+    created_at: str = field(default_factory=lambda: datetime.now(timezone.utc).isoformat())
 
     @property
     def text_hash(self) -> str:
@@ -130,10 +131,29 @@ def run_meta_cycle(policy: policies.Policy, versions: Versions, measure: Callabl
     return out
 
 
+def orchestrate(policy_path: str, folder: str, in_sample=None, holdout=None, invoke: Callable[[str, str], str] | None = None, versions: Versions | None = None, measure=None) -> dict:
+    """From a policy file to a saved cycle.  in_sample, holdout: callables policy -> session, called only for a live run, and
+    the holdout only where versions are decided: measure(version, in-sample session, holdout session) gives the numbers of
+    the text before and after.  Without `invoke` it is a dry run."""
+    policy = policies.load(policy_path)
+    if found := policies.errors(policy):
+        raise ValueError("; ".join(found))
+    live = invoke is not None
+    session = in_sample(policy) if live and in_sample else None
+    out = run_cycle(policy, invoke)
+    if session is not None:
+        out["alpha_metrics"] = session.headline()
+    if versions is not None and measure is not None:
+        hidden = holdout(policy) if live and holdout else None
+        out["promotions"] = run_meta_cycle(policy, versions, lambda v: measure(v, session, hidden))
+    out["saved"] = save_cycle(out, folder)
+    return out
+
+
 def save_cycle(cycle: dict, folder: str) -> str:
     path = Path(folder) / f"cycle-{datetime.now(timezone.utc):%Y%m%d-%H%M%S}.json"
     path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps(cycle, indent=2))
+    path.write_text(json.dumps(cycle, indent=2, default=str))
     return str(path)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 
 from ..operators.risk import METRICS, OPS
 
 
+# Sections and fields are those of the YAML documents in use; the defaults are a large-cap setting.
 @dataclass
 class Universe:
     source: str = "wikipedia"
@@ -80,8 +81,9 @@ class Policy:
     governance: Governance = field(default_factory=Governance)
 
 
-def from_dict(d: dict) -> Policy:
-    """Unknown keys raise TypeError."""
+def from_dict(d: dict | None) -> Policy:
+    """Unknown keys inside a section raise TypeError; unknown sections are ignored, and an empty document is the default."""
+    d = {k: v for k, v in (d or {}).items() if k in {f.name for f in fields(Policy)} and v is not None}
     parts = {"universe": Universe, "data": Data, "holdout": Holdout, "cost_model": Costs, "governance": Governance}
     lists = {"hard_constraints": Hard, "soft_constraints": Soft}
     built = {k: parts[k](**v) if k in parts else [lists[k](**x) for x in v] if k in lists else v for k, v in d.items()}

@@ -1,8 +1,9 @@
 """User features: a function of one ticker's frame (sorted by date), checked before it may run.
 
-The check works by allowlist: only the syntax, names and attributes below, no imports, no private names, and no looking
-ahead (shift, pct_change and diff take literal numbers that are not negative).  Accepted features run by
-groupBy(ticker).applyInPandas and must return one value per row.
+The check works by allowlist: only the syntax, names and attributes below, no imports, no private names; shift, pct_change
+and diff take literal numbers that are not negative.  Accepted features run by groupBy(ticker).applyInPandas and must
+return one value per row.  Looking ahead is tested where it would happen: the feature is computed again on the rows up to
+two cuts, and must give there what it gives on all rows.
 """
 
 from __future__ import annotations
@@ -74,6 +75,18 @@ def compile_feature(source: str, name: str | None = None):
     return name, space[name]
 
 
+def looks_ahead(feature, frame: pd.DataFrame, got: pd.Series) -> bool:
+    """Whether values change when later rows are not there."""
+    import numpy as np
+
+    whole = pd.to_numeric(got, errors="coerce").to_numpy(dtype=float)
+    for cut in {len(frame) // 2, len(frame) * 4 // 5} - {0, len(frame)}:
+        part = pd.to_numeric(feature(frame.iloc[:cut].copy()), errors="coerce").to_numpy(dtype=float)
+        if len(part) != cut or not np.allclose(part, whole[:cut], rtol=1e-6, atol=1e-9, equal_nan=True):
+            return True
+    return False
+
+
 def apply(panel: DataFrame, source: str, name: str | None = None) -> DataFrame:
     """panel plus the feature's column; the source travels and is checked again where it runs."""
     name, _ = compile_feature(source, name)
@@ -81,9 +94,12 @@ def apply(panel: DataFrame, source: str, name: str | None = None) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t_idx").reset_index(drop=True)
-        got = compile_feature(source, name)[1](pdf[fields].astype(float))
+        feature, frame = compile_feature(source, name)[1], pdf[fields].astype(float)
+        got = feature(frame.copy())
         if not isinstance(got, pd.Series) or len(got) != len(pdf):
             raise TypeError("a feature returns one value per row")
+        if looks_ahead(feature, frame, got):
+            raise Rejected("the feature looks ahead: its values change when later rows are taken away")
         value = [None if x is None or not math.isfinite(x) else float(x) for x in got]
         return pd.DataFrame({"date": pdf["date"], "ticker": pdf["ticker"], name: pd.Series(value, dtype=object)})
 

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as contract
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["panel_dense", "cache_refresh_keep_last", "membership_pit", "mask_membership", "f_vol_21d", "f_gaps_padded", "xs_combine", "xs_ewma", "neut_full", "rank_deciles", "w_sticky", "per_decile", "m_summary", "r_violations", "k_summary", "v_line_diff"]
+NAMES = ["panel_dense", "cache_refresh_keep_last", "membership_pit", "mask_membership", "f_vol_21d", "f_gaps_padded", "xs_combine", "xs_ewma", "neut_full", "rank_deciles", "w_sticky", "per_decile", "m_summary", "w_sticky_wide_exit", "f_idio_vol_60d", "f_signed_vol_20d", "compare_variants", "grid_pivot", "r_metrics", "r_violations", "k_summary", "v_line_diff"]
 
 
 def shown(v):

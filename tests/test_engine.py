@@ -328,3 +328,189 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.date, r.ticker): (r.open, r.high, r.low, r.close, r.volume) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     want = {(r.date, r.ticker): (r.open, r.high, r.low, r.close, r.volume) for r in stream.tumbling_bars(events).collect()}
     assert got and all(want[k] == v for k, v in got.items()) and len(got) >= len(want) - 3
+
+
+@pytest.mark.parametrize(("n", "exit_n"), [(3, None), (2, None), (5, 1), (1, 1)])
+def test_sticky_without_an_exit_band(spark, n, exit_n):
+    """Against the state machine date by date: enter, hold while known, the entry wins where both sides would hold."""
+    rng = np.random.default_rng(31)
+    x = gappy(rng, (40, 9))
+    got = back(ranking.sticky_weights(wide(spark, x, "signal"), "signal", n, exit_n), "weight")
+    buckets = lambda k: back(ranking.deciles(wide(spark, x, "signal"), "signal", k, "b"), "b")
+    entry, hold = buckets(n), buckets(exit_n or max(1, n // 2))
+    top = (exit_n or max(1, n // 2)) - 1
+    long, short = np.zeros(9, bool), np.zeros(9, bool)
+    for t in range(40):
+        up, down = entry[t] == n - 1, entry[t] == 0
+        new_long, new_short = up | (long & (hold[t] == top)), down | (short & (hold[t] == 0))
+        both = new_long & new_short
+        long, short = new_long & (~both | up), new_short & (~both | down)
+        want = np.where(long, 1 / max(1, long.sum()), 0) - np.where(short, 1 / max(1, short.sum()), 0)
+        assert same(got[t], want)
+
+
+def test_constructors_against_plain_numpy(spark):
+    rng = np.random.default_rng(43)
+    signal, ret = rng.normal(size=(66, 8)), rng.normal(0, 0.01, (66, 8))
+    signal[30:, 3], ret[5, 2] = np.nan, np.nan
+    df = wide(spark, signal, "signal", ret=ret)
+    mv, rp = back(construct.mean_variance(df, lookback=30), "weight"), back(construct.risk_parity(df, lookback=40), "weight")
+    hold_mv, hold_rp = np.zeros(8), np.zeros(8)
+    for t in range(66):
+        if t % 21 == 0:
+            have = np.isfinite(signal[t])
+            past = pd.DataFrame(ret[max(0, t - 29) : t + 1][:, have])
+            cov = past.cov().fillna(0).to_numpy() * 0.5 + np.diag(np.diag(past.cov().fillna(0).to_numpy())) * 0.5
+            w = np.linalg.pinv(cov + 1e-8 * np.eye(have.sum())) @ signal[t, have]
+            hold_mv = np.zeros(8)
+            hold_mv[have] = w * 0.1 / np.sqrt(max(w @ cov @ w, 1e-12) * 252)
+            window = ret[max(0, t - 39) : t + 1]
+            full = np.isfinite(window).all(axis=0)
+            if len(window) >= 30 and full.sum() >= 5:
+                cov, w = np.cov(window[:, full].T), np.full(full.sum(), 1 / full.sum())
+                for _ in range(200):
+                    part = w * (cov @ w)
+                    new = np.maximum(w - 0.1 * (part - part.mean()) / (cov @ w + 1e-12), 1e-6)
+                    new /= new.sum()
+                    w, moved = new, np.abs(new - w).max()
+                    if moved < 1e-6:
+                        break
+                hold_rp = np.zeros(8)
+                hold_rp[full] = w
+        assert np.allclose(mv[t], hold_mv, atol=1e-9) and np.allclose(rp[t], hold_rp, atol=1e-9)
+
+
+def test_risk_metrics_in_one_pass(spark):
+    rng = np.random.default_rng(44)
+    w = wide(spark, rng.normal(size=(30, 6)) * 0.1, "weight", fwd=rng.normal(0, 0.01, (30, 6))).withColumn("sector", F.when(F.col("ticker_ord") < 2, "X"))
+    daily = accounting.returns(w, 5.0)
+    got = {r.metric: r.value for r in risk.all_metrics(w, cost_bps=5.0).collect()}
+    e = risk.exposures(w).agg(F.max("gross"), F.max("net"), F.max("max_name"), F.min("n_long"), F.min("n_short")).first()
+    want = dict(zip(("gross_exposure", "net_exposure", "max_single_name_weight", "min_n_long", "min_n_short"), e, strict=True))
+    want |= {"max_sector_weight": risk.sector_exposure(w).agg(F.max("exposure")).first()[0], "avg_turnover": risk.average_turnover(w).first()[0]}
+    want["max_drawdown"] = accounting.equity(daily, "net", missing_as_zero=True).agg(F.min("drawdown")).first()[0]
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert {r.metric: r.value for r in risk.all_metrics(w, daily).collect()} == pytest.approx(want)
+    out = risk.report(risk.all_metrics(w), risk.constraints(spark, [("g", "gross_exposure", "<=", 0.0)]), spark.createDataFrame([("s", "net_exposure", 0.0, 2.0)], "name string, metric string, target double, weight double"))
+    assert not out["passes_policy"] and out["hard_violations"][0]["name"] == "g" and out["soft_scores"]["s"] == pytest.approx(2 * want["net_exposure"])
+
+
+LOOKING_AHEAD = ["def f(p): return p['close'].shift(**{'periods': -1})", "def f(p):\n    g = p['close'].shift\n    return g(-1)", "def f(p): return p['close'].rolling(5, center=True).mean()", "def f(p): return p['close'] / p['close'].iloc[-1]"]
+
+
+@pytest.mark.parametrize("source", LOOKING_AHEAD)
+def test_sandbox_notices_looking_ahead(spark, panel, source):
+    with pytest.raises(Exception, match="looks ahead|not allowed|literal number"):
+        sandbox.apply(panel.where("t_idx < 40"), source).count()
+
+
+def test_policy_tolerates_what_it_does_not_know(tmp_path):
+    assert policy.from_dict(None) == policy.Policy() and policy.from_dict({"notes": 1, "name": "p", "universe": None}).name == "p"
+    (tmp_path / "p.yaml").write_text("")
+    assert policy.load(str(tmp_path / "p.yaml")) == policy.Policy()
+
+
+def test_journal_and_ledger(tmp_path):
+    j = session.Journal(str(tmp_path / "j"))
+    assert not j.exists() and j.best() is None and j.total_runs() == 0 and "No runs yet" in j.recap()
+    for k, v in enumerate([0.1, 0.3, None, float("nan"), 0.3]):
+        j.record({"feature_weights": {"a": 1.0}}, {"sharpe": v, "ic_ir": 0.5})
+    with j.path.open("a") as f:
+        f.write("broken\n\n")
+    assert j.total_runs() == 6 and j.best()["run_id"] == j.rows()[1]["run_id"] and [r["summary"]["sharpe"] for r in j.top(3)] == [0.3, 0.3, 0.1]
+    assert j.save_feature("a", "def a(p): return p['close']", "closing price") == 1 and j.save_feature("a", "def a(p): return p['open']") == 2
+    j.note_sharpe({"a"}, 0.2)
+    j.note_sharpe({"a"}, 0.1)
+    (meta,) = j.feature_metadata()
+    assert meta["description"] == "closing price" and meta["best_sharpe"] == 0.2 and "source" not in meta
+    (j.root / "features" / "bad.json").write_text("{")
+    (j.root / "features" / "worse.json").write_text('{"name": "w", "source": "import os"}')
+    assert list(j.features()) == ["a"] and len(j.warnings) == 2
+    text = j.recap()
+    assert "closing price" in text and "Top 3 runs" in text and "Runs on record: 6" in text
+    j.clear()
+    assert not j.exists()
+    ledger = session.Ledger(str(tmp_path / "l"))
+    ledger.add("turnover", "x", 1.0, 0.0)
+    with ledger.path.open("a") as f:
+        f.write("broken\n[1]\n")
+    assert len(session.Ledger(str(tmp_path / "l")).items) == 1
+
+
+def bars_of(panel):
+    return panel.select("date", "ticker", "sector", *src.FIELDS)
+
+
+def test_windows_tools_and_candidates(spark, panel, tmp_path):
+    first, middle, last = (str(r[0]) for r in panel.where("t_idx in (0, 40, 79)").select("date").distinct().orderBy("date").collect())
+    before_middle = str(panel.where("t_idx = 39").first()["date"])
+    p = policy.from_dict({"holdout": {"in_sample_start": first, "in_sample_end": before_middle, "holdout_start": middle, "holdout_end": last}, "universe": {"min_dollar_vol_usd": 0}, "cost_model": {"type": "flat", "flat_bps": 7}, "hard_constraints": [{"name": "d", "metric": "max_drawdown", "op": ">=", "threshold": 0.5}], "soft_constraints": [{"name": "t", "metric": "avg_turnover", "target": 0.1}]})
+    config = backtest.Config(min_dollar_vol=None, n_deciles=4, exit_n_deciles=2, lags=features.Lags(2, 5, 5, 5, 5))
+    seen, hidden = session.Session.in_sample(bars_of(panel), str(tmp_path / "a"), p, config=config), session.Session.holdout(bars_of(panel), str(tmp_path / "b"), p, config=config)
+    assert seen.panel.agg(F.max("date")).first()[0] < hidden.panel.agg(F.min("date")).first()[0]
+    assert seen.panel.select("t_idx").distinct().count() == hidden.panel.select("t_idx").distinct().count() == 40
+    assert hidden.panel.where("t_idx < 5").agg(F.count("mom_12_1")).first()[0] == 0  # looks back inside the window only
+    assert session.from_policy(p).cost_bps == 7 and seen.headline() == {}
+    assert "error" in json.loads(seen.evaluate_candidate())
+    columns = set(seen.panel.columns)
+    json.loads(seen.run_backtest_tool({"reversal_5d": 1.0}, 2.0))
+    assert set(seen.panel.columns) == columns and set(seen.headline()) == {"sharpe", "gross_sharpe", "ic_ir", "avg_turnover", "max_drawdown"}
+    out = json.loads(seen.evaluate_candidate())
+    assert out["weights_source"].startswith("fallback") and out["verdict"] == "REJECTED" and out["hard_violations"][0]["metric"] == "max_drawdown" and "t" in out["soft_scores"]
+    seen.construct_signal_weighted()
+    assert "signal_weighted" in json.loads(seen.evaluate_candidate())["weights_source"]
+    assert json.loads(seen.calibration_check())["n_resolved"] == json.loads(seen.calibration_summary())["n_resolved"] == 0
+    assert "error" in json.loads(seen.propose_prompt_rewrite("alpha", "short", "short")) and "error" in json.loads(seen.propose_prompt_rewrite("nobody", "x" * 300, "y" * 40))
+    assert json.loads(seen.propose_prompt_rewrite("alpha", "x" * 300, "y" * 40))["version"] == 1
+    assert json.loads(seen.list_prompt_versions("alpha"))[0]["promoted"] is False
+    assert "Runs on record: 1" in seen.state_recap() and seen.message("find").endswith("find")
+
+
+def test_run_from_files(spark, panel, tmp_path):
+    from panelyard.sources import files
+
+    lay = layout.Layout(str(tmp_path))
+    raw = spark.createDataFrame([("A.B", "Name", "S1"), (None, "x", "S1"), ("-", "y", "S2")], "Symbol string, Security string, `GICS Sector` string")
+    assert [(r.ticker, r.name, r.sector) for r in files.constituents(raw).collect()] == [("A-B", "Name", "S1")]
+    names = panel.select("ticker", F.lit("n").alias("name"), "sector").distinct()
+    files.save_universe(lay, names.withColumn("sector", F.lit("old")), "2020-01-01")
+    files.save_universe(lay, names, "2021-01-01")
+    bars = bars_of(panel).drop("sector")
+    layout.write_table(bars.where("t_idx < 30") if "t_idx" in bars.columns else bars.where(F.col("date") < panel.where("t_idx = 30").first()["date"]), lay.bars())
+    files.save_changes(lay, spark.createDataFrame([("2019-01-01", "T0", None)], "date string, added string, removed string"))
+    asked = []
+
+    class Source:
+        def fetch(self, spark, tickers, start, end):
+            asked.append((len(tickers), start))
+            return bars.where(F.col("ticker").isin(tickers) & (F.col("date") >= F.lit(start).cast("date")))
+
+    dates = [str(r[0]) for r in panel.select("date").distinct().orderBy("date").collect()]
+    (tmp_path / "c.yaml").write_text(f"start: {dates[0]}\nend: {dates[-1]}\nfeatures: {{reversal_5d: 1.0}}\nliquidity: {{min_dollar_vol_usd: 0}}\nmembership: {{point_in_time: true}}\nneutralize: {{sector: true, size: false}}\nbacktest: {{weighting: decile, n_deciles: 4, cost_bps: 5.0}}\n")
+    result, summary, folder = backtest.run_from_files(spark, str(tmp_path / "c.yaml"), lay, source=Source())
+    assert asked and asked[0][1] > dates[0] and spark.read.parquet(lay.bars()).count() == bars.count()
+    assert json.loads(open(f"{folder}/summary.json").read())["n_obs"] == summary["n_obs"] == len(dates) and summary["avg_members"] > 0
+    assert {r.sector for r in result.signal.select("sector").distinct().collect()} == {r.sector for r in names.select("sector").distinct().collect()}
+    cells = spark.createDataFrame([(0.0, "off", 0.1), (0.0, "5", 0.2)], "halflife double, exit string, sharpe double")
+    assert spark.read.parquet(layout.save_grid(lay, "g", cells) + "/grid").count() == 2 and len(json.loads(open(f"{lay.output('g')}/grid.json").read())) == 2
+    files.save_membership(lay, files.load_membership(spark, lay, panel.select("date")))
+    assert files.cached_membership(spark, lay).count() > 0 and files.cached_membership(spark, layout.Layout(str(tmp_path / "none"))) is None
+    one = layout.save_research(str(tmp_path / "run"), "goal", "report", [{"tool": "a"}, {"text": "x"}, {"tool": "b"}], "n" * 7000)
+    assert layout.load_research(one)["tools"] == ["a", "b"] and cycle.review_prompt([layout.load_research(one)]).count("n" * 6000) == 1
+
+
+def test_orchestrate(tmp_path):
+    (tmp_path / "p.yaml").write_text("name: p\n")
+    assert cycle.orchestrate(str(tmp_path / "p.yaml"), str(tmp_path / "o"))["verdict"] == "DRY_RUN"
+    versions, calls = cycle.Versions(str(tmp_path / "v")), []
+    versions.propose("alpha", "x" * 200, "y" * 30)
+
+    class Seen:
+        def headline(self):
+            return {"sharpe": 1.0}
+
+    out = cycle.orchestrate(str(tmp_path / "p.yaml"), str(tmp_path / "o"), lambda p: Seen(), lambda p: "hidden", lambda a, m: "approved", versions, lambda v, s, h: calls.append(h) or ({"sharpe": 0.0}, {"n_obs": 300, "sharpe": 9.0}))
+    assert out["alpha_metrics"] == {"sharpe": 1.0} and out["promotions"] == {"alpha v1": "PROMOTED"} and calls == ["hidden"]
+    (tmp_path / "bad.yaml").write_text("cost_model: {type: odd}\n")
+    with pytest.raises(ValueError):
+        cycle.orchestrate(str(tmp_path / "bad.yaml"), str(tmp_path / "o"))
