@@ -35,6 +35,14 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+BATCH_BYTES = 8 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that go to Python by their bytes: texts may be long, and 10,000 of them no batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path below spark.checkpoint.dir; a temporary folder only where that setting is missing and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -49,10 +57,18 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def kept_until_exit(spark: SparkSession, path: str) -> None:
+    """A scratch table that results may still read goes when the driver ends (the pipeline deletes its own earlier)."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def stored(df: DataFrame, label: str, fmt: str = "parquet", **options) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here and every executor can read it again."""
+    lean(df.sparkSession)
     path = scratch(df.sparkSession, label)
     df.write.options(**options).format(fmt).save(path)
+    kept_until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).format(fmt).load(path)
 
 
@@ -76,7 +92,7 @@ def filter_bits(n: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n - 1).bit_length())) if n else LEAST_BITS
 
 
-def _marked(rows: DataFrame, wanted: DataFrame, column: str, bits: int) -> tuple[DataFrame, str]:
+def marked(rows: DataFrame, wanted: DataFrame, column: str, bits: int = LEAST_BITS) -> tuple[DataFrame, str]:
     """rows with one more column, whose name comes second: false only if `column` is surely not among `wanted`."""
     tag = uuid.uuid4().hex[:12]  # no column of the input has such a name
     slot, block, marks_col, byte, hit = (f"_{x}_{tag}" for x in ("slot", "block", "marks", "byte", "hit"))
@@ -93,14 +109,14 @@ def maybe_in(rows: DataFrame, wanted: DataFrame, column: str, bits: int = LEAST_
     """Rows whose `column` may be among `wanted`: a bitmap test in the scan, with false positives, no false negatives.
 
     The bitmap has `bits` bits (see filter_bits), at most MOST_BITS, so that it can be broadcast."""
-    found, hit = _marked(rows, wanted, column, bits)
+    found, hit = marked(rows, wanted, column, bits)
     return found.where(F.col(hit)).drop(hit)
 
 
 def without(rows: DataFrame, ids: DataFrame, column: str, bits: int = LEAST_BITS) -> DataFrame:
     """Anti-join that moves only rows which the bitmap does not clear; nulls stay."""
-    marked, hit = _marked(rows, ids, column, bits)
-    clear, rest = marked.where(~F.col(hit)), marked.where(F.col(hit)).join(ids, column, "left_anti")
+    found, hit = marked(rows, ids, column, bits)
+    clear, rest = found.where(~F.col(hit)), found.where(F.col(hit)).join(ids, column, "left_anti")
     return clear.select(*rows.columns).unionByName(rest.select(*rows.columns))
 
 
