@@ -24,11 +24,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrowio import slices
+from .arrowio import slices, tidy
+from .shared import lean
 
-LEAF_CHARS = 1 << 14  # texts up to this length are encoded in one go
+LEAF_CHARS = 1 << 10  # texts up to this length are leaves
 LEAF_BYTES = 512  # the same for one piece
-LEAF_TOKENS = 1 << 15  # and for decoding
+LEAF_TOKENS = 1 << 10  # and for decoding
 RUN = re.compile(r"\S{%d}" % (2 * LEAF_BYTES))
 BORDER = re.compile(r"\S(?=[ \n])")
 
@@ -122,6 +123,7 @@ def default_path() -> str:
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit integers).  path: of the ranks, the same on every executor."""
     path = path or default_path()
+    lean(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
@@ -131,7 +133,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -147,7 +149,26 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 out = [tool.decode(np.frombuffer(x, "<u4").tolist()) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
+    return encoded.mapInArrow(tidy(run), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, decoded: encode() and then decode() of its ids, in one Python worker a task instead of two."""
+    path = path or default_path()
+    lean(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        tool = codec(path)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ids = [tool.packed(x) for x in part.column("text").to_pylist()]
+                out = [tool.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
 
 
 def digests(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
@@ -161,4 +182,4 @@ def digests(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return digests(decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    return digests(round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet")))
