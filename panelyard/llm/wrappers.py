@@ -42,9 +42,11 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrowio import slices
+from .arrowio import slices, tidy
 from .shared import stored
 
+MARK_WORDS = 3  # of one class or id that may mark boilerplate, such as cookie-consent-banner
+MERGED = 64  # partial wrappers of one host that a task merges
 MIN_PAGES = 3  # different pages that must agree before a text is taken for the host's own
 # Element names by their role, and the words that mark boilerplate or content in class, id and role.
 RAW = "script|style|noscript|template|svg|iframe|textarea|select|title"
@@ -63,17 +65,22 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>
 
 
 def role(key: str) -> str:
-    """"boiler", "main" or "" for an opening tag's key."""
+    """"boiler", "main" or "" for an opening tag's key.  A class or id of more than MARK_WORDS words is a title, say, and
+    marks no boilerplate."""
     name, *marks = key.split(" ")
     if name in BOILER:
         return "boiler"
     words: set[str] = set()
+    boiler = False
     for mark in re.split(r" (?=class=|id=|role=)", key)[1:]:
         kind, _, value = mark.partition("=")
         if kind == "role" and value in BOILER_ROLES:
             return "boiler"
-        words |= set(re.split(r"[^a-z0-9]+", value))
-    if words & BOILER_WORDS and name not in ("body", "html", "article", "main"):
+        for one in value.split():
+            parts = [x for x in re.split(r"[^a-z0-9]+", one) if x]
+            words.update(parts)
+            boiler = boiler or len(parts) <= MARK_WORDS and not BOILER_WORDS.isdisjoint(parts)
+    if boiler and name not in ("body", "html", "article", "main"):
         return "boiler"
     return "main" if name in MAIN or name in ("div", "section", "td") and words & MAIN_WORDS else ""
 
@@ -118,8 +125,8 @@ EDGE = 64
 
 
 def unit_of(keys: list[str]) -> list[str] | None:
-    """The shortest unit that `keys` is whole copies of."""
-    return next((keys[:n] for n in range(1, min(16, len(keys)) + 1) if len(keys) % n == 0 and keys[:n] * (len(keys) // n) == keys), None)
+    """The shortest unit that `keys` is whole copies of; one longer than EDGE is not kept (only expression() shows it)."""
+    return next((keys[:n] for n in range(1, min(EDGE, len(keys)) + 1) if len(keys) % n == 0 and keys[n:] == keys[: len(keys) - n]), None)
 
 
 def marks(part: list[tuple[str, str]]) -> list[str]:
@@ -155,7 +162,7 @@ def slot(part: list[tuple[str, str]]) -> dict:
     ends = marks(part) if len(part) <= EDGE else None
     ends = {"head": ends, "tail": [], "whole": True} if ends is not None else {"head": marks(part[:EDGE]), "tail": marks(part[-EDGE:]), "whole": False}
     texts = [t for k, t in part if not k]
-    return {"keys": sorted(set(keys)), "unit": unit_of(keys), "gone": not part, "text": " ".join(texts[0].split()) if len(texts) == 1 else None, "exact": keys if len(keys) <= 64 else None} | ends
+    return {"keys": sorted(set(keys)), "unit": unit_of(keys), "gone": not part, "text": " ".join(texts[0].split()) if len(texts) == 1 else None, "exact": keys if len(keys) <= EDGE else None} | ends
 
 
 def joined(parts: list[dict]) -> dict:
@@ -163,8 +170,8 @@ def joined(parts: list[dict]) -> dict:
     full = [p for p in parts if p["keys"]]
     if len(full) == 1:
         return full[0] | {"gone": all(p["gone"] for p in parts)}
-    exact = None if any(p["exact"] is None for p in parts) else [k for p in parts for k in p["exact"]][:65]
-    exact = exact if exact is not None and len(exact) <= 64 else None
+    exact = None if any(p["exact"] is None for p in parts) else [k for p in parts for k in p["exact"]][: EDGE + 1]
+    exact = exact if exact is not None and len(exact) <= EDGE else None
     return {"keys": sorted({k for p in full for k in p["keys"]}), "unit": unit_of(exact) if exact else None, "gone": all(p["gone"] for p in parts), "text": None, "exact": exact} | edges(parts)
 
 
@@ -384,7 +391,13 @@ def infer(pages: DataFrame) -> DataFrame:
             out["votes"] = []  # no site: nothing is its own text
         return pa.table({"host": table.column("host")[:1], "wrapper": pa.array([json.dumps(out)])})
 
-    parts = pages.select("host", "html").mapInArrow(fold, "host string, wrapper string")
+    parts = stored(pages.select("host", "html").mapInArrow(tidy(fold), "host string, wrapper string"), "wrapper-parts")
+    # a tree of merges: no task takes more than MERGED wrappers or so of one host, which may be on as many as there are tasks
+    most = parts.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    while most > MERGED:
+        groups = -(-most // MERGED)
+        parts = stored(parts.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(groups)).alias("part")).applyInArrow(merge, "host string, wrapper string"), "wrapper-parts")
+        most = groups
     return parts.groupBy("host").applyInArrow(merge, "host string, wrapper string")
 
 
@@ -412,7 +425,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.join(wrappers, "host").select("page_id", "url", "html", "wrapper").mapInArrow(run, f"page_id {kind}, url string, text string")
+    return rows.join(wrappers, "host").select("page_id", "url", "html", "wrapper").mapInArrow(tidy(run), f"page_id {kind}, url string, text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
