@@ -9,8 +9,10 @@ document's connected component.  Three steps, none of which emits the pairs of a
    size); of the shorter of two such lists at most k ranges differ, so linked documents share E - k keys or more.  A
    document with too few ranges that are not empty emits keys for the empty ones, too.  Keys are read in order as a
    stream, and a document with fewer than E - k keys that any other has, too, is out: that alone drops most documents
-   which share passages or lines only.  The sets of the others are stored.  Those that share a key are joined to the
-   key's smallest one in a compatible size (a star), and stars are closed to components.
+   which share passages or lines only.  The sets of the others are stored, and their tokens counted.  Of a set's tokens,
+   rarest first, a partner must have one of the first n - ceil(t n) + 1: sets that share such a token are joined to its
+   smallest one in a compatible size (a star), and stars are closed to components.  What many documents share is not
+   rare, so that passages and lines join only documents which have little else.
    Rows that share a key are folded in the scan already, one row a key and slice of the scan.
 2. Links, inside each candidate component.  A task builds a signature tree over its documents: nodes hold the OR and the
    AND of token bitmaps and the range of set sizes.  A dual traversal prunes node pairs by the largest overlap possible:
@@ -37,9 +39,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .arrowio import slices
+from .arrowio import slices, tidy
 from .shared import components, filter_bits, maybe_in, stored
 
 TASK_TOKENS = 2_000_000  # of the sets that one group holds (16 MB)
@@ -139,7 +141,7 @@ def measured(rows: DataFrame, words: int) -> DataFrame:
                 cls = [set_key(s) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, *(pa.array([c[i] for c in cls], pa.int64()) for i in (0, 1))], ["doc_id", "n_shingles", "cls", "cls2"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, cls bigint, cls2 bigint")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, cls bigint, cls2 bigint")
 
 
 def keyed(rows: DataFrame, words: int, t: Threshold) -> DataFrame:
@@ -170,7 +172,7 @@ def keyed(rows: DataFrame, words: int, t: Threshold) -> DataFrame:
                 if len(done):  # dealt by cls, which is as good as random
                     yield pa.RecordBatch.from_arrays([pa.array(done), pa.array(done), pa.array(n)], ["key", "cls", "n"])
 
-    return rows.select("text").mapInArrow(run, "key bigint, cls bigint, n bigint")
+    return rows.select("text").mapInArrow(tidy(run), "key bigint, cls bigint, n bigint")
 
 
 def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +233,7 @@ def starred(t: Threshold):
 
 def token_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, n, tokens) for wanted (doc_id, cls, cls2); node is the set's representative.  A row that repeats an id and
-    its text gives its set twice, which links nothing new."""
+    its text gives its set twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,33 +246,48 @@ def token_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["node", "n", "tokens"])
 
     near = maybe_in(rows, wanted.select("doc_id"), "doc_id", filter_bits(wanted.count())).join(wanted, "doc_id")
-    return near.select("doc_id", "cls", "cls2", "text").mapInArrow(run, "node bigint, n bigint, tokens binary")
+    return near.select("doc_id", "cls", "cls2", "text").mapInArrow(tidy(run), "node bigint, n bigint, tokens binary")
 
 
-def set_keys(sets: DataFrame, t: Threshold) -> DataFrame:
-    """(key, n, node) of stored sets."""
+def tokens_of(sets: DataFrame) -> DataFrame:
+    """(token, n, node) of stored sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "tokens"):
-                keys = [np.concatenate(t.keys(np.frombuffer(x, np.uint64))) for x in part.column("tokens").to_pylist()]
-                many = [len(k) for k in keys]
+                packed = part.column("tokens").to_pylist()
+                many = [len(x) // 8 for x in packed]
                 n, node = (np.repeat(part.column(c).to_numpy(), many) for c in ("n", "node"))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(n), pa.array(node)], ["key", "n", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(packed), np.int64)), pa.array(n), pa.array(node)], ["token", "n", "node"])
 
-    return sets.select("node", "n", "tokens").mapInArrow(run, "key bigint, n bigint, node bigint")
+    return sets.select("node", "n", "tokens").mapInArrow(tidy(run), "token bigint, n bigint, node bigint")
+
+
+def prefixes(sets: DataFrame, t: Threshold) -> DataFrame:
+    """(key, n, node): each set's rarest tokens, as many as one of them must be in any partner, without those that no other
+    set has.  Tokens go by (number of sets, token): linked sets share at least t n of n tokens, so that of the first
+    n - ceil(t n) + 1 in any common order one is shared."""
+    tokens = tokens_of(sets)
+    often = tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
+    mine = Window.partitionBy("node")
+    alone = F.col("n") - F.count("*").over(mine)  # tokens of one set only come first, and lead nowhere
+    first = F.col("n") - F.ceil(F.col("n") * t.num / F.lit(t.den)) + 1 - alone
+    ranked = tokens.join(often, "token").withColumns({"first": first, "at": F.row_number().over(mine.orderBy("sets", "token"))})
+    return ranked.where("at <= first").select(F.col("token").alias("key"), "n", "node")
 
 
 def candidates(rows: DataFrame, classes: DataFrame, words: int, t: Threshold) -> tuple[DataFrame, DataFrame]:
-    """Sets (node, n, tokens) that may have a link, and (node, n, comp): components of shared keys among them."""
-    shared = keyed(rows, words, t).repartition("key").sortWithinPartitions("key", "cls").mapInArrow(tallied, "cls bigint, n bigint")
+    """Sets (node, n, tokens) that may have a link, and (node, n, comp): components of shared prefix tokens among them."""
+    shared = keyed(rows, words, t).repartition("key").sortWithinPartitions("key", "cls").mapInArrow(tidy(tallied), "cls bigint, n bigint")
     shared = shared.groupBy("cls").agg(F.sum("n").alias("shared"))
     wanted = classes.join(shared, "cls").where(F.col("shared") >= t.least(F.col("n"))).select(F.col("rep").alias("doc_id"), "cls", "cls2")
     sets = stored(token_sets(rows, stored(wanted, "jaccard-wanted"), words), "jaccard-sets")
-    edges = set_keys(sets, t).repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(starred(t), "u bigint, v bigint")
+    many = sets.agg(F.count("*").alias("rows"), F.count_distinct("node").alias("nodes")).first()
+    if many["rows"] > many["nodes"]:  # rows that repeat an id and its text
+        sets = stored(sets.dropDuplicates(["node"]), "jaccard-sets")
+    edges = prefixes(sets, t).repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(tidy(starred(t)), "u bigint, v bigint")
     comps = components(edges).select("node", F.col("root").alias("comp"))
-    return sets, sets.select("node", "n").distinct().join(comps, "node")
+    return sets, sets.select("node", "n").join(comps, "node")
 
 
 # -- links inside a component
@@ -462,7 +479,7 @@ def compared(big: DataFrame, rest: dict[int, tuple[list, list, list]], t: Thresh
                 if u:
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return big.where(F.col("comp").isin(list(rest))).select("u", "comp", "tokens").mapInArrow(run, "u bigint, v bigint")
+    return big.where(F.col("comp").isin(list(rest))).select("u", "comp", "tokens").mapInArrow(tidy(run), "u bigint, v bigint")
 
 
 def forest_links(sets: DataFrame, plan: DataFrame, t: Threshold, task_tokens: int = TASK_TOKENS, rest_tokens: int = REST_TOKENS) -> DataFrame:
