@@ -56,8 +56,21 @@ def test_exact_dedup_survivors_and_lookup(spark):
     assert sorted(texts) == sorted(groups(ROWS))
     index = exact_dedup.compact(exact_dedup.flush(docs))
     assert exact_dedup.compact(index).count() == index.count() == len(groups(ROWS))
-    new = documents(spark, [(1, "THE CAT", "z"), (2, "never seen", "z")])
-    assert {r.doc_id: r.known for r in exact_dedup.lookup(index, new).collect()} == {1: True, 2: False}
+
+
+def test_exact_dedup_index_grows_by_levels(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FAN", 2)
+    levels = []
+    assert [r.known for r in exact_dedup.lookup(levels, documents(spark, ROWS[:1])).collect()] == [False]
+    for part in (ROWS[:3], ROWS[3:8], ROWS[8:]):
+        levels = exact_dedup.ingest(levels, documents(spark, part))
+    assert [len(x) for x in levels] == [1, 1]
+    new = documents(spark, [(100, "THE CAT", "z"), (200, "never seen", "z"), (300, None, "z"), (400, "x " * 40_000, "z")])
+    found = exact_dedup.lookup(levels, new)
+    assert {r.doc_id: (r.known, r.smallest) for r in found.collect()} == {100: (True, 1), 200: (False, None), 300: (True, 3), 400: (True, 8)}
+    assert {(r.doc_id, r.smallest) for r in exact_dedup.verified(found, new, documents(spark, ROWS)).collect()} == {(100, 1), (300, 3), (400, 8)}
+    digest = hashlib.sha256(b"the cat").hexdigest()
+    assert [(r.smallest, r.largest, r.n) for r in exact_dedup.find(levels, [digest]).collect()] == [(1, 7, 3)]
 
 
 def word_sets(text, words):
@@ -112,7 +125,10 @@ def test_jaccard_keys_keep_every_link():
             b = np.unique(np.concatenate([keep, rng.integers(0, 2**63, rng.integers(0, 4)).astype(np.uint64)]))
             both = len(np.intersect1d(a, b))
             if len(b) and t.linked(both, len(a), len(b)):
-                assert set(np.concatenate(t.keys(a)).tolist()) & set(np.concatenate(t.keys(b)).tolist())
+                shared = set(np.concatenate(t.keys(a)).tolist()) & set(np.concatenate(t.keys(b)).tolist())
+                for n in (len(a), len(b)):
+                    smallest = -(-n * num // 100)
+                    assert len(shared) >= 1 + ((n + smallest) * (100 - num) // (100 + num) + 1) // 4
 
 
 def test_components_of_a_chain_and_a_hub(spark):
@@ -144,6 +160,20 @@ def test_sharding(spark):
     assert all(sorted(v) == list(range(len(v))) for v in per.values())
 
 
+def test_sharding_query(spark, tmp_path):
+    """The registered query's own columns and law."""
+    documents(spark, [*ROWS, (500, "é", "s")]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.query(spark, str(tmp_path)).collect()
+    want = collections.Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in [*ROWS, (500, "é", "s")])
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
+    per = collections.defaultdict(list)
+    for r in got:
+        per[r.shard].append(r.slot)
+    assert set(per) <= set(range(8)) and max(map(len, per.values())) <= -(-len(got) // 8)
+    assert all(sorted(v) == list(range(len(v))) for v in per.values())
+
+
 def test_byte_bpe_tree_agrees_with_the_whole(monkeypatch):
     import re
 
@@ -163,7 +193,9 @@ def test_byte_bpe_tree_agrees_with_the_whole(monkeypatch):
 def test_byte_bpe_rows(spark):
     rows = [*ROWS, (20, "<|endoftext|> it's", "s"), (21, "z" * 30_000, "s")]
     tool = byte_bpe.codec(byte_bpe.default_path())
-    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(documents(spark, rows)))).collect())
+    two = byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(documents(spark, rows)))).collect()
+    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in byte_bpe.digests(byte_bpe.round_trip(documents(spark, rows))).collect())
+    assert got == collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in two)
     want = collections.Counter()
     for i, t, _ in rows:
         ids = np.asarray(tool.core.encode_ordinary(t or ""), "<u4")
@@ -205,8 +237,8 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("hot", "block"), [(20_000, 1 << 23), (4, 60)])
-def test_repeated_passages(spark, monkeypatch, hot, block):
+@pytest.mark.parametrize(("hot", "known"), [(8 << 20, 1 << 23), (600, 1 << 23), (600, 0)])
+def test_repeated_passages(spark, monkeypatch, hot, known):
     rng = random.Random(5)
     pool = ["".join(rng.choice("abcdeé ") for _ in range(rng.randint(30, 90))) for _ in range(6)]
     rows = []
@@ -215,7 +247,8 @@ def test_repeated_passages(spark, monkeypatch, hot, block):
         rows.append((i, "".join(parts), "s"))
     rows += [(300, None, "s"), (301, "", "s"), (302, rows[5][1], "s"), (302, rows[5][1], "s"), (303, rows[7][1], "s"), (303, "zz", "s"), (304, "x" * 3000, "s"), (None, rows[8][1], "s")]
     monkeypatch.setattr(repeats, "CHUNK", 256)
-    out = repeats.remove(documents(spark, rows), 40, 10, hot_runs=hot, block_buckets=block).collect()
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 500)
+    out = repeats.remove(documents(spark, rows), 40, 10, period=8, hot_bytes=hot, broadcast_buckets=known).collect()
     got = collections.Counter((r.doc_id, r.n_bytes, sum(s.high - s.low for s in r.spans), len(r.spans), r.kept_sha256) for r in out)
     assert got == brute_repeats(rows, 40)
 
@@ -224,17 +257,28 @@ def test_repeated_passages_of_copies_without_an_id(spark):
     rng = random.Random(12)
     a, b, c, d = ("".join(rng.choice("abcdeé ") for _ in range(90)) for _ in range(4))
     rows = [(None, a + b, "s"), (None, a + b, "s"), (None, a + b, "s"), (1, c + b, "s"), (2, a, "s"), (None, d, "s"), (3, d[:70], "s"), (4, c[10:60], "s")]
-    out = repeats.remove(documents(spark, rows), 40, 10).collect()
+    out = repeats.remove(documents(spark, rows), 40, 10, period=8).collect()
     got = collections.Counter((r.doc_id, r.n_bytes, sum(s.high - s.low for s in r.spans), len(r.spans), r.kept_sha256) for r in out)
     assert got == brute_repeats(rows, 40)
 
 
-def test_repeated_passages_compare_buckets_too(monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(repeats, "fingerprints", lambda data, size, which: np.zeros(len(data) - size + 1, np.uint64))
-    table = pa.table({"bucket": [1, 2, 1, 3], "did": [1, 2, 3, 4], "at": [0, 0, 5, 0], "data": [b"a" * 9] * 4})
-    assert sorted(repeats.matcher(9)(table).column("did").to_pylist()) == [1, 3]
+def test_difference_cover_settles_ties():
+    rng = random.Random(3)
+    for period in (8, 16):
+        chosen = repeats.cover(period).tolist()
+        assert {(a - b) % period for a in chosen for b in chosen} == set(range(period)) and len(chosen) == {8: 4, 16: 5}[period]
+        length = 5 * period
+        for _ in range(60):
+            base = bytes(rng.choice(b"ab\x00\xff") for _ in range(4 * length))
+            parts = []
+            for _ in range(rng.randint(1, 8)):
+                part = bytearray(base[(a := rng.randrange(length)) : a + length + rng.randrange(2 * length)])
+                part[rng.randrange(len(part))] ^= rng.choice([0, 0, 1])
+                parts.append(bytes(part) if rng.random() < 0.8 else b"\x00" * len(part))
+            bucket = np.array([rng.randrange(2) for _ in parts])
+            want = collections.Counter((b, x[k : k + length]) for b, x in zip(bucket.tolist(), parts, strict=True) for k in range(len(x) - length + 1))
+            got = repeats.repeated(parts, bucket, length, period).tolist()
+            assert got == [want[b, x[k : k + length]] > 1 for b, x in zip(bucket.tolist(), parts, strict=True) for k in range(len(x) - length + 1)]
 
 
 def test_toxicity_finds_planted_words(spark):
@@ -259,6 +303,26 @@ def test_toxicity_finds_planted_words(spark):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, r in got.items() if r.score < 0.5}
 
 
+def test_ftrl_agrees_with_a_dense_one():
+    """The published per-coordinate update, written for whole vectors."""
+    rng = np.random.default_rng(5)
+    ours, size = toxicity.Ftrl(bits=5), 33
+    z, n = np.zeros(size), np.zeros(size)
+    for _ in range(400):
+        at = np.unique(rng.integers(0, 32, rng.integers(0, 6)))
+        label = int(at.sum() % 3 == 0)
+        x = np.zeros(size)
+        x[at], x[-1] = 1, 1
+        l1 = np.full(size, toxicity.L1)
+        l1[-1] = 0
+        w = np.where(np.abs(z) <= l1, 0, (np.sign(z) * l1 - z) / ((toxicity.BETA + np.sqrt(n)) / toxicity.ALPHA + toxicity.L2))
+        g = (1 / (1 + np.exp(-(w @ x))) - label) * x
+        sigma = (np.sqrt(n + g**2) - np.sqrt(n)) / toxicity.ALPHA
+        z, n = z + g - sigma * w, n + g**2
+        ours.learn(at, label)
+    assert np.allclose(ours.z, z) and np.allclose(ours.n, n) and np.abs(z).max() > toxicity.L1
+
+
 def test_toxicity_scorer_agrees_with_the_features():
     rng = np.random.default_rng(2)
     at = np.unique(rng.integers(0, 1 << toxicity.BITS, 300_000))
@@ -279,7 +343,7 @@ def test_token_orc_words_agree_with_the_library():
         alphabet = rng.choice(alphabets)
         text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))
         want = tool.whole.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(tool.packed(text), "<u4").tolist() == want
+        assert np.frombuffer(tool.packed([text])[0], "<u4").tolist() == want
 
 
 def test_token_orc_files(spark):
@@ -380,10 +444,30 @@ def test_exact_top_k(spark):
         best = sorted((-int(ints[q] @ ints[i]), i) for i in ints if i != q)[:5]
         want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
     assert got == want
+    blocks = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(table, table.where("vec_id % 50 = 0"), shard_rows=8, query_block=3).collect()}
+    assert blocks == want
     few = table.where("vec_id in (0, 1, 2)")
     assert topk.top_k(few, few.where("vec_id = 0")).count() == 2
 
 
+def test_exact_top_k_of_one_common_vector_and_of_huge_components(spark):
+    rows = [(i, [0.5, 1.0] if i % 3 else [i / 256, -1.0]) for i in range(300)]
+    table = topk.whole(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = topk.top_k(table, table.where("vec_id % 50 = 0"), shard_rows=4).collect()
+    whole = {i: (np.floor(256 * np.float32(x).astype(float)), np.floor(256 * np.float32(y).astype(float))) for i, (x, y) in rows}
+    for q in range(0, 300, 50):
+        best = sorted((-int(whole[q][0] * whole[i][0] + whole[q][1] * whole[i][1]), i) for i in whole if i != q)[:5]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(i, -s) for s, i in best]
+    rows = [(0, [3e38, 1.0]), (1, [3e38, 2.0]), (2, [-3e38, 0.0]), (3, [1.0, 1.0]), (50, [1e20, -1e20])]
+    table = topk.whole(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    ints = {i: [int(256 * float(np.float32(x))) for x in v] for i, v in rows}
+    got = topk.top_k(table, table.where("vec_id % 50 = 0"), shard_rows=2).collect()
+    for q in (0, 50):
+        clamp = lambda s: max(-topk.MOST, min(topk.MOST, s))
+        best = sorted((-clamp(sum(a * b for a, b in zip(ints[q], ints[i], strict=True))), i) for i in ints if i != q)[:5]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(i, -s) for s, i in best]
+
+
 def test_kd_tree_prunes_and_stays_exact(monkeypatch):
     monkeypatch.setattr(topk, "LEAF_ROWS", 8)
     rng = np.random.default_rng(9)
