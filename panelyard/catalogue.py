@@ -373,9 +373,9 @@ def d_candidate(spark, d):
 
 @query
 def d_governance(spark, d):
-    w = weighted(spark, d)
+    w = weighted(spark, d).persist()  # returns and violations read it
     day = accounting.returns(w)
-    one = accounting.summary(day).select("sharpe", "ann_return").join(accounting.gross_addons(day).select("gross_ann_return")).join(m_ic_summary(spark, d).select("ic_ir")).join(r_violations(spark, d).agg(F.count("*").alias("n_violations")))
+    one = accounting.summary(day).select("sharpe", "ann_return").join(accounting.gross_addons(day).select("gross_ann_return")).join(m_ic_summary(spark, d).select("ic_ir")).join(risk.violations(risk.all_metrics(w, cost_bps=5.0), risk.constraints(spark, HARD)).agg(F.count("*").alias("n_violations")))
     return risk.governance(one)
 
 
