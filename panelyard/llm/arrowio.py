@@ -39,9 +39,3 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
                 pass
 
     return whole
-
-
-def int_lists(packed: list[bytes]) -> pa.ListArray:
-    """list<int32> from packed little-endian 32-bit integers."""
-    ends = np.cumsum([0] + [len(x) // 4 for x in packed]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))

@@ -6,8 +6,10 @@ the id column a Bloom filter; readers split files by stripe and skip stripes by
 file order (range number and row number in one long), so that offsets need only one sum per range.
 
 Encoding goes word by word: the tokenizer drops white space before it looks at anything else, so that texts split at
-ASCII white space encode as their words do.  Words are looked up in a bounded table; a word that is not there is
-encoded by the same merges in another engine if its characters are plain, and by the tokenizer itself otherwise.
+ASCII white space encode as their words do.  Words are looked up in a bounded table.  Those of a slice that are not there
+go to the tokenizers library in batches: whole, or, where their characters are plain (lower case and composition need no
+context), lower-cased and split by the tokenizer's own pattern first, so that pieces are encoded once however they are
+written.  A piece ends with the vocabulary's end-of-word mark, which tells the pieces of a batch apart.
 
 Edge cases: a null text counts as empty and holds only the end id; null ids sort first; rows that repeat an id are
 kept, ordered by their text; an empty table gives no rows; other columns are ignored.
@@ -16,77 +18,110 @@ kept, ordered by their text; an empty table gives no rows; other columns are ign
 from __future__ import annotations
 
 import functools
-import json
+import itertools
+import os
 import re
-import struct
 import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .arrowio import int_lists, slices
-from .shared import scratch, stored
+from .arrowio import slices, tidy
+from .shared import kept_until_exit, scratch, stored
 
 END_ID = 1
-CACHE_WORDS = 400_000  # entries of one worker's table (some 100 MB)
-PLAIN = re.compile("[!-~\u00a1-\u024f]+")  # characters whose lower case and composition need no context
+CACHE_WORDS = 500_000  # entries of one worker's tables of words and of pieces (some 90 MB each), and those of one slice more
+JOINED = 64  # pieces that go to the library as one string
+SLICE_BYTES = 8 << 20  # words of a slice are looked up once
+LOOKED_AT = 2048  # words that are examined as one string
+PLAIN = re.compile("[\n!-~\u00a1-\u024f]+")  # characters whose lower case and composition need no context
 # Fixed value: the tokenizer's own split pattern.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def byte_letters() -> dict[int, str]:
-    """The printable letter that byte-level vocabularies write for each byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 class Words(dict):
-    """word (bytes without ASCII white space) -> packed ids."""
+    """word (without ASCII white space) -> packed ids (little-endian unsigned 32-bit integers)."""
 
     def __init__(self, path: str):
         import regex
-        import tiktoken
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         super().__init__()
-        self.whole = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        letter, vocab, suffix = byte_letters(), model["vocab"], model["end_of_word_suffix"]
-        to_byte = {c: b for b, c in letter.items()}
-        # A word's last byte is merged with an end mark (0xFF, never part of UTF-8) before all else.
-        ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 255]): 256 + b for b in range(255)}
-        self.ids = {b: vocab.get(c, -1) for b, c in letter.items()} | {256 + b: vocab.get(letter[b] + suffix, -1) for b in range(255)}
-        for n, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            end = b.endswith(suffix)
-            raw = bytes(to_byte[c] for c in a + (b.removesuffix(suffix) if end else b)) + b"\xff" * end
-            if ranks.setdefault(raw, 512 + n) == 512 + n:
-                self.ids[512 + n] = vocab[a + b]
-        self.core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.whole, self.by_piece = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.by_piece.normalizer = normalizers.Sequence([])
+        self.by_piece.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab, suffix = self.whole.get_vocab(), self.whole.model.end_of_word_suffix
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for x, i in vocab.items() if x.endswith(suffix)]] = True
+        self.pieces: dict[str, bytes] = {}
         self.split = regex.compile(SPLIT)
 
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
+    def cut(self, words: list[str]) -> list[str | list[str] | None]:
+        """The pieces of each plain word (or its only one), looked at together; None for other words."""
+        text = "\n".join(words)
         low = text.lower()
         if PLAIN.fullmatch(low) and "<|" not in low and (low.isascii() or "İ" not in text and unicodedata.is_normalized("NFC", text)):
-            known, pieces = self.ids, (low,) if low.isalpha() else self.split.findall(low)
-            ids = [known[x] for m in pieces for x in self.core.encode_single_piece(m.encode() + b"\xff")]
-        else:
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-        out = array("I", ids).tobytes()
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = out
-        return out
-
-    def packed(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split()))
+            return [w if w.isalpha() else self.split.findall(w) for w in low.split("\n")]
+        return [x for word in words for x in self.cut([word])] if len(words) > 1 else [None]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Puts the ids of new pieces into the table."""
+        texts = [" ".join(pieces[at : at + JOINED]) for at in range(0, len(pieces), JOINED)]
+        found = self.by_piece.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in found), np.uint32)
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) != len(pieces):
+            raise RuntimeError("the vocabulary's end-of-word marks do not tell pieces apart")
+        packed, at = ids.tobytes(), 0
+        for piece, stop in zip(pieces, stops, strict=True):
+            self.pieces[piece] = packed[at:stop]
+            at = stop
+
+    def add(self, words: list[str]) -> None:
+        """Puts new words into the table."""
+        whole, parts, odd = {}, {}, []
+        for at in range(0, len(words), LOOKED_AT):
+            some = words[at : at + LOOKED_AT]
+            for word, pieces in zip(some, self.cut(some), strict=True):
+                if type(pieces) is str:
+                    whole[word] = pieces
+                elif pieces is None:
+                    odd.append(word)
+                else:
+                    parts[word] = pieces
+        known = self.pieces
+        if new := set(whole.values()).union(*parts.values()).difference(known):
+            self.learn(list(new))
+        self.update(zip(whole, map(known.__getitem__, whole.values()), strict=True))
+        for word, pieces in parts.items():
+            self[word] = b"".join([known[p] for p in pieces])
+        for word, found in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False) if odd else (), strict=True):
+            self[word] = array("I", found.ids).tobytes()
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, and all ids one after the other."""
+        for table in (self, self.pieces):
+            if len(table) >= CACHE_WORDS:  # the words that came first are the frequent ones
+                for word in list(itertools.islice(table, CACHE_WORDS // 2, None)):
+                    del table[word]
+        words = pa.compute.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.get, names))
+        if new := [i for i, x in enumerate(found) if x is None]:
+            self.add([names[i] for i in new if names[i]])
+            for i in new:
+                found[i] = self[names[i]] if names[i] else b""
+        each = pa.array(found, pa.binary()).take(coded.indices)
+        offsets, start = np.frombuffer(each.buffers()[1], np.int32)[each.offset : each.offset + len(each) + 1], words.offsets.to_numpy()
+        flat = np.frombuffer(each.buffers()[2], np.uint32)[offsets[0] // 4 : offsets[-1] // 4] if len(each) and offsets[-1] else np.empty(0, np.uint32)
+        return np.diff(offsets[start - start[0]]) // 4, flat
 
 
 @functools.lru_cache(maxsize=2)
@@ -102,20 +137,25 @@ def default_path() -> str:
 
 def write(docs: DataFrame, target: str, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes (doc_id, position, n_tokens, ids) as ORC files in ascending id order."""
-    path, end = path or default_path(), struct.pack("<I", end_id)
+    path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = words(path)
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids = [tool.packed(x) + end for x in part.column("text").to_pylist()]
-                n = pa.array([len(x) // 4 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, int_lists(ids)], ["doc_id", "n_tokens", "ids"])
+            for part in slices(batch, "text", SLICE_BYTES):
+                many, ids = tool.ids(part.column("text"))
+                ends = np.cumsum(many + 1)
+                out = np.empty(len(ids) + len(many), np.uint32)
+                inside = np.ones(len(out), bool)
+                inside[ends - 1] = False
+                out[inside], out[ends - 1] = ids, end_id
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(out.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array((many + 1).astype(np.int64)), lists], ["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids array<int>").withColumn("position", F.monotonically_increasing_id())
+    rows = rows.mapInArrow(tidy(run), f"doc_id {kind}, n_tokens bigint, ids array<int>").withColumn("position", F.monotonically_increasing_id())
     rows.write.option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").option("orc.stripe.size", str(16 << 20)).orc(target)
 
 
@@ -137,7 +177,7 @@ def checked(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("position"), n, pa.array(crc, pa.int64())], ["doc_id", "position", "n_tokens", "ids_crc32"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "position", "ids").mapInArrow(run, f"doc_id {kind}, position bigint, n_tokens bigint, ids_crc32 bigint")
+    return rows.select("doc_id", "position", "ids").mapInArrow(tidy(run), f"doc_id {kind}, position bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def starts(rows: DataFrame) -> DataFrame:
@@ -153,4 +193,5 @@ def starts(rows: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     target = scratch(spark, "token-orc")
     write(spark.read.parquet(f"{sf_dir}/documents.parquet"), target)
+    kept_until_exit(spark, target)
     return starts(stored(checked(read(spark, target)), "token-sums")).select("doc_id", "start", "n_tokens", "ids_crc32")
