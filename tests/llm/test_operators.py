@@ -335,15 +335,21 @@ def test_toxicity_scorer_agrees_with_the_features():
         assert abs(scorer.score(text) - want) < 1e-12
 
 
-def test_token_orc_words_agree_with_the_library():
-    tool = token_orc.words(token_orc.default_path())
+def test_token_orc_words_agree_with_the_library(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_orc, "CACHE_WORDS", 300)
+    tool = token_orc.Words(token_orc.default_path())
     rng = random.Random(7)
     alphabets = ["abcABC' sStT.,!? 12", "éÉ ñÑ ẞßIiİı ", "Σσς ab", "漢字 　\xa0\x85 \x1c\x00a", "<|endoftext|> a<|startoftext|>b", "é å ½²", "👍🏽 ‍ a-b_c"]
-    for _ in range(800):
-        alphabet = rng.choice(alphabets)
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))
-        want = tool.whole.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(tool.packed([text])[0], "<u4").tolist() == want
+    for size in (1, 3, 40) * 10:
+        texts = ["", " \t\n", *("".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randrange(40))) for _ in range(size)), " a  b\x0b\x0c"]
+        many, ids = tool.ids(pa.array(texts))
+        want = [x.ids for x in tool.whole.encode_batch(texts, add_special_tokens=False)]
+        assert many.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    for part in (pa.array([]).cast(pa.string()), pa.array(["x", "a b", "c"]).slice(1)):
+        many, ids = tool.ids(part)
+        assert many.tolist() == [len(x.ids) for x in tool.whole.encode_batch(part.to_pylist(), add_special_tokens=False)] and len(ids) == many.sum()
 
 
 def test_token_orc_files(spark):
