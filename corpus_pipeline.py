@@ -70,8 +70,7 @@ def mixing_stage(spark, docs, sf_dir):
 @_stage
 def bpe_stage(spark, docs, sf_dir):
     """Token ids of every document, and digests of the ids and of what they decode to."""
-    decoded = byte_bpe.decode(byte_bpe.encode(docs))
-    return byte_bpe.digests(decoded, keep_ids=True)
+    return byte_bpe.digests(byte_bpe.round_trip(docs), keep_ids=True)
 
 
 STAGES = [
