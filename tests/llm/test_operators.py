@@ -262,6 +262,20 @@ def test_repeated_passages_of_copies_without_an_id(spark):
     assert got == brute_repeats(rows, 40)
 
 
+def test_repeated_passages_end_at_400_bytes(spark, tmp_path):
+    """Through the query: 399 bytes stay, though they are over 50 words; 400 go."""
+    rng = random.Random(31)
+    words = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(3, 6))) for _ in range(n))
+    sized = lambda n: next(x for x in iter(lambda: words(200).encode()[:n].decode(errors="ignore"), None) if len(x.encode()) == n)
+    below, at = sized(399), sized(400)
+    assert min(len(below.split()), len(at.split())) > 50
+    rows = [(1, f"1{below}2", "s"), (2, f"{words(90)} 3{below}4 {words(20)}", "s"), (3, f"5{at}6", "s"), (4, f"{words(90)} 7{at}8", "s"), (5, words(300), "s")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = repeats.query(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in out} == {1: (0, 0), 2: (0, 0), 3: (400, 1), 4: (400, 1), 5: (0, 0)}
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == brute_repeats(rows, 400)
+
+
 def test_difference_cover_settles_ties():
     rng = random.Random(3)
     for period in (8, 16):
